@@ -1,0 +1,369 @@
+"""An event log projected from the order tables: one session per order.
+
+Objects: Session SES-k, Application APP-k and CreditDecision DEC-k per order k,
+Applicant CUS-c per customer, DataResource RES-p per part, PolicyVersion POL-d per
+order priority, HumanApprover HUM-s per supplier, Agent AGT-0..3 (supplier modulo 4)
+and Model MDL-0..2. Events, in minutes from the order date:
+
+    +0    session_start
+    +1    call_llm by AGT-0
+    +2n   handoff from the previous line's agent when it differs (left out when
+          l_partkey % 11 = 0, sent to a third agent when l_partkey % 11 = 1)
+    +2n+1 retrieve_data of the line's part by the line's agent
+    +120  grant_approval by line 1's supplier (+240, a tie with the decision, when
+          l_suppkey % 7 = 0; for the next order's decision when l_partkey % 10 = 0)
+    +240  make_decision (F grant, O deny, P refer)
+    +241  emit_reasoning (without ``explains`` when o_custkey % 9 = 0)
+    +242  session_end
+
+``(l_orderkey, l_linenumber)`` is not a key, so lines are first reduced to one row.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ocelens.functions.attributes import (
+    attribute_map,
+    boolean_value,
+    float_value,
+    integer_value,
+    list_value,
+    string_value,
+)
+from ocelens.functions.canonical import utc_text
+from ocelens.model import EventLog, Partitioned
+from ocelens.operators.rules import DEFAULT_RULES, Rule
+
+APPROVER_ROLES = ("credit_officer", "risk_manager", "contractor", "intern")
+AGENT_ROLES = ("intake", "retrieval", "scoring", "adjudication")
+REQUIRED_SOURCES = ("ECONOMY", "SMALL")
+
+
+def order_rules() -> tuple[Rule, ...]:
+    """The default rules with the data sources this projection retrieves."""
+    return tuple(
+        Rule(**{**rule.__dict__, "params": {"required_sources": list(REQUIRED_SOURCES)}})
+        if rule.template == "t2_mandatory_data_coverage"
+        else rule
+        for rule in DEFAULT_RULES
+    )
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _id(prefix: str, col: str | Column) -> Column:
+    return F.concat(F.lit(prefix), (F.col(col) if isinstance(col, str) else col).cast("string"))
+
+
+def _sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders = _table(spark, sf_dir, "orders")
+    return orders.select(
+        F.col("o_orderkey").alias("k"),
+        F.col("o_custkey").alias("c"),
+        F.col("o_orderstatus").alias("status"),
+        F.col("o_totalprice").alias("price"),
+        F.col("o_orderdate").alias("t0"),
+        F.substring("o_orderpriority", 1, 1).alias("policy"),
+        _id("SES-", "o_orderkey").alias("session_id"),
+    )
+
+
+def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per (order, line number), with its session's columns."""
+    lines = (
+        _table(spark, sf_dir, "lineitem")
+        .groupBy(F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("n"))
+        .agg(F.min("l_partkey").alias("p"), F.min("l_suppkey").alias("s"))
+    )
+    # at most one row per line number is left in an order, so the window stays small
+    by_line = Window.partitionBy("k").orderBy("n")
+    agents = lines.withColumn("agent", F.col("s") % 4).withColumn(
+        "sender", F.lag("agent").over(by_line)
+    )
+    return agents.join(_sessions(spark, sf_dir), "k")
+
+
+def _at(minutes: Column) -> Column:
+    return F.expr("make_dt_interval(0, 0, 1, 0)") * minutes + F.col("t0")
+
+
+def _event_id(minutes: Column, event_type: str) -> Column:
+    return F.concat_ws(
+        "-", F.lit("EV"), F.col("k").cast("string"), F.lpad(minutes.cast("string"), 3, "0"), F.lit(event_type)
+    )
+
+
+def _timed(df: DataFrame, event_type: str, minutes: Column) -> DataFrame:
+    return df.withColumn("event_id", _event_id(minutes, event_type)).withColumn("ts", _at(minutes)).withColumn(
+        "event_type", F.lit(event_type)
+    )
+
+
+def _event_sources(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    sessions, lines = _sessions(spark, sf_dir), _lines(spark, sf_dir)
+    handed = lines.where("sender IS NOT NULL AND sender <> agent AND p % 11 <> 0")
+    # a misdirected handoff goes to the lowest agent that is neither sender nor receiver
+    third = F.array_min(F.array_except(F.array(*[F.lit(i).cast("bigint") for i in range(4)]), F.array("sender", "agent")))
+    approvals = (
+        lines.where("n = 1")
+        .withColumn("decision", F.when(F.col("p") % 10 == 0, F.col("k") + 1).otherwise(F.col("k")))
+        .join(sessions.select(F.col("k").alias("decision")), "decision", "left_semi")
+    )
+    tie = F.when(F.col("s") % 7 == 0, F.lit(240)).otherwise(F.lit(120))
+    return {
+        "session_start": _timed(sessions, "session_start", F.lit(0)),
+        "call_llm": _timed(sessions, "call_llm", F.lit(1)),
+        "handoff": _timed(handed, "handoff", 2 * F.col("n")).withColumn(
+            "receiver", F.when(F.col("p") % 11 == 1, third).otherwise(F.col("agent"))
+        ),
+        "retrieve_data": _timed(lines, "retrieve_data", 2 * F.col("n") + 1),
+        "grant_approval": _timed(approvals, "grant_approval", tie),
+        "make_decision": _timed(sessions, "make_decision", F.lit(240)),
+        "emit_reasoning": _timed(sessions, "emit_reasoning", F.lit(241)),
+        "session_end": _timed(sessions, "session_end", F.lit(242)),
+    }
+
+
+def _edge(object_id: Column, object_type: str, qualifier: str) -> Column:
+    return F.struct(
+        object_id.alias("object_id"),
+        F.lit(object_type).alias("object_type"),
+        F.lit(qualifier).alias("qualifier"),
+    )
+
+
+def _edges_of(event_type: str) -> list[Column]:
+    session = _edge(F.col("session_id"), "Session", "within")
+    application = _edge(_id("APP-", "k"), "Application", "concerns")
+    applicant = _edge(_id("CUS-", "c"), "Applicant", "concerns")
+    policy = _edge(_id("POL-", "policy"), "PolicyVersion", "governed_by")
+    decision = _id("DEC-", "k")
+    return {
+        "session_start": [
+            session,
+            application,
+            applicant,
+            policy,
+            _edge(
+                F.when((F.col("k") % 5 == 0) & (F.col("policy") != "5"), F.lit("POL-5")),
+                "PolicyVersion",
+                "declares",
+            ),
+        ],
+        "call_llm": [
+            session,
+            application,
+            _edge(F.lit("AGT-0"), "Agent", "performed_by"),
+            _edge(_id("MDL-", F.col("k") % 3), "Model", "uses"),
+        ],
+        "handoff": [
+            session,
+            application,
+            _edge(_id("AGT-", "sender"), "Agent", "from"),
+            _edge(_id("AGT-", "receiver"), "Agent", "to"),
+        ],
+        "retrieve_data": [
+            session,
+            application,
+            applicant,
+            _edge(_id("AGT-", "agent"), "Agent", "performed_by"),
+            _edge(_id("RES-", "p"), "DataResource", "reads"),
+        ],
+        "grant_approval": [
+            session,
+            application,
+            _edge(_id("HUM-", "s"), "HumanApprover", "performed_by"),
+            _edge(_id("DEC-", "decision"), "CreditDecision", "approves"),
+        ],
+        "make_decision": [
+            session,
+            application,
+            applicant,
+            policy,
+            _edge(decision, "CreditDecision", "produces"),
+        ],
+        "emit_reasoning": [
+            session,
+            application,
+            _edge(F.when(F.col("c") % 9 != 0, decision), "CreditDecision", "explains"),
+        ],
+        "session_end": [session, application, _edge(decision, "CreditDecision", "concerns")],
+    }[event_type]
+
+
+def _outcome() -> Column:
+    return (
+        F.when(F.col("status") == "F", F.lit("grant"))
+        .when(F.col("status") == "O", F.lit("deny"))
+        .otherwise(F.lit("refer"))
+    )
+
+
+def _reason_codes(empty: Column) -> Column:
+    return F.when(empty, F.array().cast("array<string>")).otherwise(F.array(F.lit("RC01"), _id("RC1", F.col("k") % 7)))
+
+
+def _attrs_of(event_type: str) -> Column:
+    return {
+        "session_start": lambda: attribute_map(
+            run_id=string_value(F.lit("orders")), seed=integer_value(F.col("k"))
+        ),
+        "call_llm": lambda: attribute_map(
+            max_tokens=integer_value(F.lit(1024)),
+            purpose=string_value(F.lit("summary")),
+            temperature=float_value((F.col("k") % 4) / F.lit(4)),
+        ),
+        "handoff": lambda: attribute_map(handoff_kind=string_value(F.lit("line"))),
+        "retrieve_data": lambda: attribute_map(record_count=integer_value(F.col("n"))),
+        "grant_approval": lambda: attribute_map(authority_level=integer_value(F.col("s") % 4)),
+        "make_decision": lambda: attribute_map(
+            adverse=boolean_value(F.col("status") != "F"),
+            outcome=string_value(_outcome()),
+            reason_codes=list_value(_reason_codes(F.lit(False))),
+            score=integer_value(F.floor("price")),
+        ),
+        "emit_reasoning": lambda: attribute_map(reasoning_kind=string_value(F.lit("rationale"))),
+        "session_end": lambda: attribute_map(
+            duration_seconds=integer_value(F.lit(14520)), outcome=string_value(_outcome())
+        ),
+    }[event_type]()
+
+
+def _objects(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    sessions = _sessions(spark, sf_dir)
+    parts: dict[str, DataFrame] = {}
+
+    def objects(df: DataFrame, object_id: Column, object_type: str, **attrs: Column) -> None:
+        parts[object_type] = df.select(
+            object_id.alias("object_id"),
+            F.lit(object_type).alias("object_type"),
+            attribute_map(**attrs).alias("attrs"),
+        )
+
+    agents = spark.range(4)
+    names = F.array(*[F.lit(r) for r in AGENT_ROLES])
+    roles = F.array(*[F.lit(r) for r in APPROVER_ROLES])
+    policies = _table(spark, sf_dir, "orders").select(F.substring("o_orderpriority", 1, 1).alias("policy")).distinct()
+    objects(
+        sessions,
+        F.col("session_id"),
+        "Session",
+        session_id=string_value(F.col("session_id")),
+        workflow_name=string_value(F.lit("credit_scoring")),
+    )
+    objects(
+        sessions,
+        _id("APP-", "k"),
+        "Application",
+        application_id=string_value(_id("APP-", "k")),
+        amount=integer_value(F.floor("price")),
+        submitted_at=string_value(utc_text(F.col("t0"))),
+    )
+    objects(
+        sessions,
+        _id("DEC-", "k"),
+        "CreditDecision",
+        decision_id=string_value(_id("DEC-", "k")),
+        outcome=string_value(_outcome()),
+        reason_codes=list_value(_reason_codes(F.col("k") % 13 == 0)),
+    )
+    objects(
+        _table(spark, sf_dir, "customer"),
+        _id("CUS-", "c_custkey"),
+        "Applicant",
+        applicant_id=string_value(_id("CUS-", "c_custkey")),
+        jurisdiction=string_value(_id("N", "c_nationkey")),
+    )
+    objects(
+        _table(spark, sf_dir, "part"),
+        _id("RES-", "p_partkey"),
+        "DataResource",
+        resource_type=string_value(F.col("p_type")),
+        classification=string_value(
+            F.when(F.col("p_type") == "PROMO", F.lit("special_category")).otherwise(F.lit("internal"))
+        ),
+        lawful_basis=string_value(F.when(F.col("p_size") % 2 == 0, F.lit("")).otherwise(F.lit("art10"))),
+    )
+    objects(
+        policies,
+        _id("POL-", "policy"),
+        "PolicyVersion",
+        version=string_value(F.concat(F.lit("2026."), F.col("policy"))),
+        effective_to=string_value(
+            F.when(F.col("policy") == "5", F.lit("2026-01-31T23:59:59Z")).otherwise(F.lit(""))
+        ),
+    )
+    objects(
+        _table(spark, sf_dir, "supplier"),
+        _id("HUM-", "s_suppkey"),
+        "HumanApprover",
+        approver_id=string_value(_id("HUM-", "s_suppkey")),
+        role=string_value(F.get(roles, (F.col("s_nationkey") % 4).cast("int"))),
+    )
+    objects(
+        agents,
+        _id("AGT-", "id"),
+        "Agent",
+        agent_id=string_value(_id("AGT-", "id")),
+        role=string_value(F.get(names, F.col("id").cast("int"))),
+        version=string_value(F.concat(F.lit("1."), F.col("id").cast("string"))),
+    )
+    objects(
+        spark.range(3),
+        _id("MDL-", "id"),
+        "Model",
+        model_id=string_value(_id("MDL-", "id")),
+        version=string_value(F.concat(F.lit("2."), F.col("id").cast("string"))),
+    )
+    return parts
+
+
+def _o2o(spark: SparkSession, sf_dir: str, handoffs: DataFrame) -> DataFrame:
+    sessions = _sessions(spark, sf_dir)
+    submitted = sessions.select(
+        _id("APP-", "k").alias("source_id"), _id("CUS-", "c").alias("target_id"), F.lit("submitted_by").alias("qualifier")
+    )
+    derived = sessions.where("k % 17 <> 0").select(
+        _id("DEC-", "k").alias("source_id"), _id("APP-", "k").alias("target_id"), F.lit("derived_from").alias("qualifier")
+    )
+    delegated = (
+        handoffs.select(
+            _id("AGT-", "sender").alias("source_id"),
+            _id("AGT-", "receiver").alias("target_id"),
+            F.lit("delegates_to").alias("qualifier"),
+        )
+    ).distinct()
+    return submitted.unionByName(derived).unionByName(delegated)
+
+
+def order_log(spark: SparkSession, sf_dir: str) -> EventLog:
+    """The whole order history as one event log, lazily."""
+    sources = _event_sources(spark, sf_dir)
+    events = {
+        kind: df.select("event_id", "event_type", "ts", _attrs_of(kind).alias("attrs"))
+        for kind, df in sources.items()
+    }
+    relations = Partitioned(
+        "event_type",
+        {
+            kind: df.select(
+                "event_id",
+                "event_type",
+                "ts",
+                "session_id",
+                F.inline(F.filter(F.array(*_edges_of(kind)), lambda e: e["object_id"].isNotNull())),
+            )
+            for kind, df in sources.items()
+        },
+    )
+    return EventLog(
+        events=Partitioned("event_type", events),
+        objects=Partitioned("object_type", _objects(spark, sf_dir)),
+        e2o=relations.all().select("event_id", "object_id", "qualifier"),
+        o2o=_o2o(spark, sf_dir, sources["handoff"]),
+        relations=relations,
+    )

@@ -1,0 +1,2 @@
+"""Empty on purpose: the workloads covered here are finite file sets, so no
+streaming operator is owed (an incomplete session is a finding, not late data)."""
