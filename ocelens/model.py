@@ -17,7 +17,7 @@ Stored logs keep it partitioned by event type (see ``sources.tables``).
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Mapping
+from collections.abc import Callable, Iterable, Mapping
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -59,18 +59,24 @@ def _union(parts: Iterable[DataFrame]) -> DataFrame:
 
 
 class Partitioned:
-    """A table kept as one DataFrame per type, so naming a type reads only that part."""
+    """A table kept as one DataFrame per type, so naming a type builds and reads only that part."""
 
-    def __init__(self, column: str, parts: Mapping[str, DataFrame]) -> None:
+    def __init__(self, column: str, parts: Mapping[str, Callable[[], DataFrame]]) -> None:
         self.column = column
-        self.parts = dict(parts)
+        self._makers = dict(parts)
+        self._made: dict[str, DataFrame] = {}
+
+    def _part(self, name: str) -> DataFrame:
+        if name not in self._made:
+            self._made[name] = self._makers[name]()
+        return self._made[name]
 
     def all(self) -> DataFrame:
-        return _union(self.parts.values())
+        return _union(self._part(name) for name in self._makers)
 
     def only(self, *types: str) -> DataFrame:
-        chosen = [self.parts[t] for t in types if t in self.parts]
-        return _union(chosen) if chosen else next(iter(self.parts.values())).limit(0)
+        chosen = [self._part(t) for t in types if t in self._makers]
+        return _union(chosen) if chosen else self._part(next(iter(self._makers))).limit(0)
 
 
 class Whole:
@@ -92,25 +98,39 @@ def _table(column: str, table: DataFrame | Partitioned | Whole) -> Partitioned |
 
 
 class EventLog:
-    """One log as DataFrames; nothing is sorted or validated on construction."""
+    """One log as DataFrames; nothing is sorted, validated or even planned on construction."""
 
     def __init__(
         self,
         events: DataFrame | Partitioned,
         objects: DataFrame | Partitioned,
-        e2o: DataFrame,
-        o2o: DataFrame,
+        e2o: DataFrame | None,
+        o2o: DataFrame | Callable[[], DataFrame],
         relations: DataFrame | Partitioned | None = None,
     ) -> None:
+        if e2o is None and relations is None:
+            raise ValueError("an event log needs e2o edges or the relations view")
         self._events = _table("event_type", events)
         self._objects = _table("object_type", objects)
-        self.e2o = e2o
-        self.o2o = o2o
+        self._e2o = e2o
+        self._o2o = o2o
         self._relations = None if relations is None else _table("event_type", relations)
 
     @property
     def spark(self) -> SparkSession:
-        return self.e2o.sparkSession
+        return SparkSession.active()
+
+    @property
+    def e2o(self) -> DataFrame:
+        if self._e2o is None:
+            self._e2o = self.relations.select("event_id", "object_id", "qualifier")
+        return self._e2o
+
+    @property
+    def o2o(self) -> DataFrame:
+        if not isinstance(self._o2o, DataFrame):
+            self._o2o = self._o2o()
+        return self._o2o
 
     @property
     def events(self) -> DataFrame:
@@ -155,7 +175,7 @@ class EventLog:
 
     def with_stored_relations(self) -> EventLog:
         """Persist the denormalised view, for a run that evaluates many operators."""
-        return EventLog(self._events, self._objects, self.e2o, self.o2o, self.relations.persist())
+        return EventLog(self._events, self._objects, self._e2o, self._o2o, self.relations.persist())
 
 
 def empty(spark: SparkSession, schema: str) -> DataFrame:

@@ -21,6 +21,9 @@ and Model MDL-0..2. Events, in minutes from the order date:
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import cached_property
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -73,7 +76,7 @@ def _sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row per (order, line number), with its session's columns."""
+    """One row per (order, line number)."""
     lines = (
         _table(spark, sf_dir, "lineitem")
         .groupBy(F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("n"))
@@ -81,118 +84,144 @@ def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     # at most one row per line number is left in an order, so the window stays small
     by_line = Window.partitionBy("k").orderBy("n")
-    agents = lines.withColumn("agent", F.col("s") % 4).withColumn(
+    return lines.withColumn("agent", F.col("s") % 4).withColumn(
         "sender", F.lag("agent").over(by_line)
     )
-    return agents.join(_sessions(spark, sf_dir), "k")
-
-
-def _at(minutes: Column) -> Column:
-    return F.expr("make_dt_interval(0, 0, 1, 0)") * minutes + F.col("t0")
 
 
-def _event_id(minutes: Column, event_type: str) -> Column:
-    return F.concat_ws(
-        "-", F.lit("EV"), F.col("k").cast("string"), F.lpad(minutes.cast("string"), 3, "0"), F.lit(event_type)
-    )
+class _Orders:
+    """The per-event-type row sources, each built on first use."""
 
+    def __init__(self, spark: SparkSession, sf_dir: str, period: str) -> None:
+        self.spark, self.sf_dir, self.period = spark, sf_dir, period
 
-def _timed(df: DataFrame, event_type: str, minutes: Column) -> DataFrame:
-    return df.withColumn("event_id", _event_id(minutes, event_type)).withColumn("ts", _at(minutes)).withColumn(
-        "event_type", F.lit(event_type)
-    )
+    @cached_property
+    def sessions(self) -> DataFrame:
+        return _sessions(self.spark, self.sf_dir).where(self.period)
 
+    @cached_property
+    def lines(self) -> DataFrame:
+        return _lines(self.spark, self.sf_dir).join(self.sessions, "k")
 
-def _event_sources(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    sessions, lines = _sessions(spark, sf_dir), _lines(spark, sf_dir)
-    handed = lines.where("sender IS NOT NULL AND sender <> agent AND p % 11 <> 0")
-    # a misdirected handoff goes to the lowest agent that is neither sender nor receiver
-    third = F.array_min(F.array_except(F.array(*[F.lit(i).cast("bigint") for i in range(4)]), F.array("sender", "agent")))
-    approvals = (
-        lines.where("n = 1")
-        .withColumn("decision", F.when(F.col("p") % 10 == 0, F.col("k") + 1).otherwise(F.col("k")))
-        .join(sessions.select(F.col("k").alias("decision")), "decision", "left_semi")
-    )
-    tie = F.when(F.col("s") % 7 == 0, F.lit(240)).otherwise(F.lit(120))
-    return {
-        "session_start": _timed(sessions, "session_start", F.lit(0)),
-        "call_llm": _timed(sessions, "call_llm", F.lit(1)),
-        "handoff": _timed(handed, "handoff", 2 * F.col("n")).withColumn(
+    @cached_property
+    def handoffs(self) -> DataFrame:
+        handed = self.lines.where("sender IS NOT NULL AND sender <> agent AND p % 11 <> 0")
+        # a misdirected handoff goes to the lowest agent that is neither sender nor receiver
+        third = F.expr("array_min(array_except(array(0L, 1L, 2L, 3L), array(sender, agent)))")
+        return handed.withColumn(
             "receiver", F.when(F.col("p") % 11 == 1, third).otherwise(F.col("agent"))
-        ),
-        "retrieve_data": _timed(lines, "retrieve_data", 2 * F.col("n") + 1),
-        "grant_approval": _timed(approvals, "grant_approval", tie),
-        "make_decision": _timed(sessions, "make_decision", F.lit(240)),
-        "emit_reasoning": _timed(sessions, "emit_reasoning", F.lit(241)),
-        "session_end": _timed(sessions, "session_end", F.lit(242)),
-    }
+        )
+
+    @cached_property
+    def approvals(self) -> DataFrame:
+        return (
+            self.lines.where("n = 1")
+            .withColumn("decision", F.expr("IF(p % 10 = 0, k + 1, k)"))
+            # any order's decision, also one outside the period
+            .join(
+                _sessions(self.spark, self.sf_dir).select(F.col("k").alias("decision")),
+                "decision",
+                "left_semi",
+            )
+        )
 
+    def rows(self, event_type: str) -> DataFrame:
+        """The source rows of an event type with its id, time and type."""
+        df, minutes = {
+            "session_start": lambda: (self.sessions, "0"),
+            "call_llm": lambda: (self.sessions, "1"),
+            "handoff": lambda: (self.handoffs, "2 * n"),
+            "retrieve_data": lambda: (self.lines, "2 * n + 1"),
+            "grant_approval": lambda: (self.approvals, "IF(s % 7 = 0, 240, 120)"),
+            "make_decision": lambda: (self.sessions, "240"),
+            "emit_reasoning": lambda: (self.sessions, "241"),
+            "session_end": lambda: (self.sessions, "242"),
+        }[event_type]()
+        return df.selectExpr(
+            "*",
+            f"concat_ws('-', 'EV', k, lpad({minutes}, 3, '0'), '{event_type}') AS event_id",
+            f"t0 + make_dt_interval(0, 0, {minutes}, 0) AS ts",
+            f"'{event_type}' AS event_type",
+        )
 
-def _edge(object_id: Column, object_type: str, qualifier: str) -> Column:
-    return F.struct(
-        object_id.alias("object_id"),
-        F.lit(object_type).alias("object_type"),
-        F.lit(qualifier).alias("qualifier"),
-    )
 
+EVENT_TYPES = (
+    "session_start",
+    "call_llm",
+    "handoff",
+    "retrieve_data",
+    "grant_approval",
+    "make_decision",
+    "emit_reasoning",
+    "session_end",
+)
 
-def _edges_of(event_type: str) -> list[Column]:
-    session = _edge(F.col("session_id"), "Session", "within")
-    application = _edge(_id("APP-", "k"), "Application", "concerns")
-    applicant = _edge(_id("CUS-", "c"), "Applicant", "concerns")
-    policy = _edge(_id("POL-", "policy"), "PolicyVersion", "governed_by")
-    decision = _id("DEC-", "k")
-    return {
-        "session_start": [
-            session,
-            application,
-            applicant,
-            policy,
-            _edge(
-                F.when((F.col("k") % 5 == 0) & (F.col("policy") != "5"), F.lit("POL-5")),
-                "PolicyVersion",
-                "declares",
-            ),
-        ],
-        "call_llm": [
-            session,
-            application,
-            _edge(F.lit("AGT-0"), "Agent", "performed_by"),
-            _edge(_id("MDL-", F.col("k") % 3), "Model", "uses"),
-        ],
-        "handoff": [
-            session,
-            application,
-            _edge(_id("AGT-", "sender"), "Agent", "from"),
-            _edge(_id("AGT-", "receiver"), "Agent", "to"),
-        ],
-        "retrieve_data": [
-            session,
-            application,
-            applicant,
-            _edge(_id("AGT-", "agent"), "Agent", "performed_by"),
-            _edge(_id("RES-", "p"), "DataResource", "reads"),
-        ],
-        "grant_approval": [
-            session,
-            application,
-            _edge(_id("HUM-", "s"), "HumanApprover", "performed_by"),
-            _edge(_id("DEC-", "decision"), "CreditDecision", "approves"),
-        ],
-        "make_decision": [
-            session,
-            application,
-            applicant,
-            policy,
-            _edge(decision, "CreditDecision", "produces"),
-        ],
-        "emit_reasoning": [
-            session,
-            application,
-            _edge(F.when(F.col("c") % 9 != 0, decision), "CreditDecision", "explains"),
-        ],
-        "session_end": [session, application, _edge(decision, "CreditDecision", "concerns")],
-    }[event_type]
+# (object id expression, object type, qualifier) per event type; a null id means no edge
+_SESSION = ("session_id", "Session", "within")
+_APPLICATION = ("concat('APP-', k)", "Application", "concerns")
+_APPLICANT = ("concat('CUS-', c)", "Applicant", "concerns")
+_POLICY = ("concat('POL-', policy)", "PolicyVersion", "governed_by")
+_EDGES = {
+    "session_start": (
+        _SESSION,
+        _APPLICATION,
+        _APPLICANT,
+        _POLICY,
+        ("IF(k % 5 = 0 AND policy <> '5', 'POL-5', NULL)", "PolicyVersion", "declares"),
+    ),
+    "call_llm": (
+        _SESSION,
+        _APPLICATION,
+        ("'AGT-0'", "Agent", "performed_by"),
+        ("concat('MDL-', k % 3)", "Model", "uses"),
+    ),
+    "handoff": (
+        _SESSION,
+        _APPLICATION,
+        ("concat('AGT-', sender)", "Agent", "from"),
+        ("concat('AGT-', receiver)", "Agent", "to"),
+    ),
+    "retrieve_data": (
+        _SESSION,
+        _APPLICATION,
+        _APPLICANT,
+        ("concat('AGT-', agent)", "Agent", "performed_by"),
+        ("concat('RES-', p)", "DataResource", "reads"),
+    ),
+    "grant_approval": (
+        _SESSION,
+        _APPLICATION,
+        ("concat('HUM-', s)", "HumanApprover", "performed_by"),
+        ("concat('DEC-', decision)", "CreditDecision", "approves"),
+    ),
+    "make_decision": (
+        _SESSION,
+        _APPLICATION,
+        _APPLICANT,
+        _POLICY,
+        ("concat('DEC-', k)", "CreditDecision", "produces"),
+    ),
+    "emit_reasoning": (
+        _SESSION,
+        _APPLICATION,
+        ("IF(c % 9 <> 0, concat('DEC-', k), NULL)", "CreditDecision", "explains"),
+    ),
+    "session_end": (_SESSION, _APPLICATION, ("concat('DEC-', k)", "CreditDecision", "concerns")),
+}
+
+
+def _relations(orders: _Orders, event_type: str) -> DataFrame:
+    structs = ", ".join(
+        f"named_struct('object_id', {oid}, 'object_type', '{kind}', 'qualifier', '{qualifier}')"
+        for oid, kind, qualifier in _EDGES[event_type]
+    )
+    return orders.rows(event_type).selectExpr(
+        "event_id",
+        "event_type",
+        "ts",
+        "session_id",
+        f"inline(filter(array({structs}), e -> e.object_id IS NOT NULL))",
+    )
 
 
 def _outcome() -> Column:
@@ -233,137 +262,125 @@ def _attrs_of(event_type: str) -> Column:
     }[event_type]()
 
 
-def _objects(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    sessions = _sessions(spark, sf_dir)
-    parts: dict[str, DataFrame] = {}
+def _objects(orders: _Orders) -> dict[str, Callable[[], DataFrame]]:
+    spark, sf_dir = orders.spark, orders.sf_dir
 
-    def objects(df: DataFrame, object_id: Column, object_type: str, **attrs: Column) -> None:
-        parts[object_type] = df.select(
+    def objects(df: DataFrame, object_id: Column, object_type: str, **attrs: Column) -> DataFrame:
+        return df.select(
             object_id.alias("object_id"),
             F.lit(object_type).alias("object_type"),
             attribute_map(**attrs).alias("attrs"),
         )
 
-    agents = spark.range(4)
-    names = F.array(*[F.lit(r) for r in AGENT_ROLES])
-    roles = F.array(*[F.lit(r) for r in APPROVER_ROLES])
-    policies = _table(spark, sf_dir, "orders").select(F.substring("o_orderpriority", 1, 1).alias("policy")).distinct()
-    objects(
-        sessions,
-        F.col("session_id"),
-        "Session",
-        session_id=string_value(F.col("session_id")),
-        workflow_name=string_value(F.lit("credit_scoring")),
-    )
-    objects(
-        sessions,
-        _id("APP-", "k"),
-        "Application",
-        application_id=string_value(_id("APP-", "k")),
-        amount=integer_value(F.floor("price")),
-        submitted_at=string_value(utc_text(F.col("t0"))),
-    )
-    objects(
-        sessions,
-        _id("DEC-", "k"),
-        "CreditDecision",
-        decision_id=string_value(_id("DEC-", "k")),
-        outcome=string_value(_outcome()),
-        reason_codes=list_value(_reason_codes(F.col("k") % 13 == 0)),
-    )
-    objects(
-        _table(spark, sf_dir, "customer"),
-        _id("CUS-", "c_custkey"),
-        "Applicant",
-        applicant_id=string_value(_id("CUS-", "c_custkey")),
-        jurisdiction=string_value(_id("N", "c_nationkey")),
-    )
-    objects(
-        _table(spark, sf_dir, "part"),
-        _id("RES-", "p_partkey"),
-        "DataResource",
-        resource_type=string_value(F.col("p_type")),
-        classification=string_value(
-            F.when(F.col("p_type") == "PROMO", F.lit("special_category")).otherwise(F.lit("internal"))
+    def one_of(names: tuple[str, ...], index: Column) -> Column:
+        return F.get(F.array(*[F.lit(n) for n in names]), index.cast("int"))
+
+    return {
+        "Session": lambda: objects(
+            orders.sessions,
+            F.col("session_id"),
+            "Session",
+            session_id=string_value(F.col("session_id")),
+            workflow_name=string_value(F.lit("credit_scoring")),
         ),
-        lawful_basis=string_value(F.when(F.col("p_size") % 2 == 0, F.lit("")).otherwise(F.lit("art10"))),
-    )
-    objects(
-        policies,
-        _id("POL-", "policy"),
-        "PolicyVersion",
-        version=string_value(F.concat(F.lit("2026."), F.col("policy"))),
-        effective_to=string_value(
-            F.when(F.col("policy") == "5", F.lit("2026-01-31T23:59:59Z")).otherwise(F.lit(""))
+        "Application": lambda: objects(
+            orders.sessions,
+            _id("APP-", "k"),
+            "Application",
+            application_id=string_value(_id("APP-", "k")),
+            amount=integer_value(F.floor("price")),
+            submitted_at=string_value(utc_text(F.col("t0"))),
         ),
-    )
-    objects(
-        _table(spark, sf_dir, "supplier"),
-        _id("HUM-", "s_suppkey"),
-        "HumanApprover",
-        approver_id=string_value(_id("HUM-", "s_suppkey")),
-        role=string_value(F.get(roles, (F.col("s_nationkey") % 4).cast("int"))),
-    )
-    objects(
-        agents,
-        _id("AGT-", "id"),
-        "Agent",
-        agent_id=string_value(_id("AGT-", "id")),
-        role=string_value(F.get(names, F.col("id").cast("int"))),
-        version=string_value(F.concat(F.lit("1."), F.col("id").cast("string"))),
-    )
-    objects(
-        spark.range(3),
-        _id("MDL-", "id"),
-        "Model",
-        model_id=string_value(_id("MDL-", "id")),
-        version=string_value(F.concat(F.lit("2."), F.col("id").cast("string"))),
-    )
-    return parts
+        "CreditDecision": lambda: objects(
+            orders.sessions,
+            _id("DEC-", "k"),
+            "CreditDecision",
+            decision_id=string_value(_id("DEC-", "k")),
+            outcome=string_value(_outcome()),
+            reason_codes=list_value(_reason_codes(F.col("k") % 13 == 0)),
+        ),
+        "Applicant": lambda: objects(
+            _table(spark, sf_dir, "customer"),
+            _id("CUS-", "c_custkey"),
+            "Applicant",
+            applicant_id=string_value(_id("CUS-", "c_custkey")),
+            jurisdiction=string_value(_id("N", "c_nationkey")),
+        ),
+        "DataResource": lambda: objects(
+            _table(spark, sf_dir, "part"),
+            _id("RES-", "p_partkey"),
+            "DataResource",
+            resource_type=string_value(F.col("p_type")),
+            classification=string_value(
+                F.when(F.col("p_type") == "PROMO", F.lit("special_category")).otherwise(F.lit("internal"))
+            ),
+            lawful_basis=string_value(F.when(F.col("p_size") % 2 == 0, F.lit("")).otherwise(F.lit("art10"))),
+        ),
+        "PolicyVersion": lambda: objects(
+            _table(spark, sf_dir, "orders")
+            .select(F.substring("o_orderpriority", 1, 1).alias("policy"))
+            .distinct(),
+            _id("POL-", "policy"),
+            "PolicyVersion",
+            version=string_value(F.concat(F.lit("2026."), F.col("policy"))),
+            effective_to=string_value(
+                F.when(F.col("policy") == "5", F.lit("2026-01-31T23:59:59Z")).otherwise(F.lit(""))
+            ),
+        ),
+        "HumanApprover": lambda: objects(
+            _table(spark, sf_dir, "supplier"),
+            _id("HUM-", "s_suppkey"),
+            "HumanApprover",
+            approver_id=string_value(_id("HUM-", "s_suppkey")),
+            role=string_value(one_of(APPROVER_ROLES, F.col("s_nationkey") % 4)),
+        ),
+        "Agent": lambda: objects(
+            spark.range(4),
+            _id("AGT-", "id"),
+            "Agent",
+            agent_id=string_value(_id("AGT-", "id")),
+            role=string_value(one_of(AGENT_ROLES, F.col("id"))),
+            version=string_value(F.concat(F.lit("1."), F.col("id").cast("string"))),
+        ),
+        "Model": lambda: objects(
+            spark.range(3),
+            _id("MDL-", "id"),
+            "Model",
+            model_id=string_value(_id("MDL-", "id")),
+            version=string_value(F.concat(F.lit("2."), F.col("id").cast("string"))),
+        ),
+    }
 
 
-def _o2o(spark: SparkSession, sf_dir: str, handoffs: DataFrame) -> DataFrame:
-    sessions = _sessions(spark, sf_dir)
-    submitted = sessions.select(
-        _id("APP-", "k").alias("source_id"), _id("CUS-", "c").alias("target_id"), F.lit("submitted_by").alias("qualifier")
+def _o2o(orders: _Orders) -> DataFrame:
+    submitted = orders.sessions.selectExpr(
+        "concat('APP-', k) AS source_id", "concat('CUS-', c) AS target_id", "'submitted_by' AS qualifier"
     )
-    derived = sessions.where("k % 17 <> 0").select(
-        _id("DEC-", "k").alias("source_id"), _id("APP-", "k").alias("target_id"), F.lit("derived_from").alias("qualifier")
+    derived = orders.sessions.where("k % 17 <> 0").selectExpr(
+        "concat('DEC-', k) AS source_id", "concat('APP-', k) AS target_id", "'derived_from' AS qualifier"
     )
-    delegated = (
-        handoffs.select(
-            _id("AGT-", "sender").alias("source_id"),
-            _id("AGT-", "receiver").alias("target_id"),
-            F.lit("delegates_to").alias("qualifier"),
-        )
+    delegated = orders.handoffs.selectExpr(
+        "concat('AGT-', sender) AS source_id",
+        "concat('AGT-', receiver) AS target_id",
+        "'delegates_to' AS qualifier",
     ).distinct()
     return submitted.unionByName(derived).unionByName(delegated)
 
 
-def order_log(spark: SparkSession, sf_dir: str) -> EventLog:
-    """The whole order history as one event log, lazily."""
-    sources = _event_sources(spark, sf_dir)
+def order_log(spark: SparkSession, sf_dir: str, period: str = "true") -> EventLog:
+    """The order history as one event log, lazily; ``period`` is a predicate on t0."""
+    orders = _Orders(spark, sf_dir, period)
     events = {
-        kind: df.select("event_id", "event_type", "ts", _attrs_of(kind).alias("attrs"))
-        for kind, df in sources.items()
+        kind: lambda kind=kind: orders.rows(kind).select(
+            "event_id", "event_type", "ts", _attrs_of(kind).alias("attrs")
+        )
+        for kind in EVENT_TYPES
     }
-    relations = Partitioned(
-        "event_type",
-        {
-            kind: df.select(
-                "event_id",
-                "event_type",
-                "ts",
-                "session_id",
-                F.inline(F.filter(F.array(*_edges_of(kind)), lambda e: e["object_id"].isNotNull())),
-            )
-            for kind, df in sources.items()
-        },
-    )
+    relations = {kind: lambda kind=kind: _relations(orders, kind) for kind in EVENT_TYPES}
     return EventLog(
         events=Partitioned("event_type", events),
-        objects=Partitioned("object_type", _objects(spark, sf_dir)),
-        e2o=relations.all().select("event_id", "object_id", "qualifier"),
-        o2o=_o2o(spark, sf_dir, sources["handoff"]),
-        relations=relations,
+        objects=Partitioned("object_type", _objects(orders)),
+        e2o=None,
+        o2o=lambda: _o2o(orders),
+        relations=Partitioned("event_type", relations),
     )

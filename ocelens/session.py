@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -24,21 +25,27 @@ def configure(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the cluster's shared checkpoint folder; make one only for local mode."""
+def shared_folder(spark: SparkSession) -> str:
+    """The cluster's shared checkpoint folder; made up only for a local session."""
     context = spark.sparkContext
-    if context.getCheckpointDir() is not None:
-        return
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    if configured:
-        context.setCheckpointDir(configured)
-    elif context.master.startswith("local"):
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
-    else:
-        raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
+    if context.getCheckpointDir() is None:
+        configured = spark.conf.get("spark.checkpoint.dir", None)
+        if configured:
+            context.setCheckpointDir(configured)
+        elif context.master.startswith("local"):
+            context.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
+        else:
+            raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
+    return context.getCheckpointDir()
 
 
 def materialise(df: DataFrame) -> DataFrame:
-    """Cut the lineage through the shared checkpoint folder (survives lost executors)."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Cut the lineage: write the rows to the shared folder and read them back.
+
+    Unlike a recomputed plan the copy survives lost executors, and its known size lets
+    later joins pick a broadcast only where the table really is small.
+    """
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
