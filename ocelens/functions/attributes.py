@@ -126,10 +126,11 @@ def variant_value(variant: Column) -> Column:
     kind = variant_kind(variant)
     empty_list = F.schema_of_variant(variant) == "ARRAY<VOID>"
     # ARRAY<VOID> covers [] and [null, ...]; only the former is a list of strings
+    items = F.try_variant_get(variant, "$", "array<string>")
     text = (
         F.when(kind == FLOAT, float_text(F.try_variant_get(variant, "$", "double")))
         .when(empty_list, F.when(F.try_variant_get(variant, "$", "string") == "[]", F.lit("[]")))
-        .when(kind == STRING_LIST, F.to_json(F.try_variant_get(variant, "$", "array<string>")))
+        .when(kind == STRING_LIST, F.when(F.forall(items, lambda i: i.isNotNull()), F.to_json(items)))
         .otherwise(F.try_variant_get(variant, "$", "string"))
     )
     return F.when(kind.isNotNull() & text.isNotNull(), F.struct(kind.alias("kind"), text.alias("text")))
