@@ -23,6 +23,8 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ocelens.session import materialise
+
 VALUE_TYPE = "struct<kind:string,text:string>"
 ATTRS_TYPE = f"map<string,{VALUE_TYPE}>"
 
@@ -173,9 +175,15 @@ class EventLog:
             )
         return self._relations
 
-    def with_stored_relations(self) -> EventLog:
-        """Persist the denormalised view, for a run that evaluates many operators."""
-        return EventLog(self._events, self._objects, self._e2o, self._o2o, self.relations.persist())
+    def stored(self) -> EventLog:
+        """The log written once to the shared folder, for a run that reads it many times."""
+        return EventLog(
+            materialise(self.events),
+            materialise(self.objects),
+            None,
+            materialise(self.o2o),
+            materialise(self.relations),
+        )
 
 
 def empty(spark: SparkSession, schema: str) -> DataFrame:

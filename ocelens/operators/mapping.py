@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -53,13 +53,68 @@ def tree_findings(spans: DataFrame) -> DataFrame:
     )
 
 
-@dataclass(frozen=True)
 class MappedRun:
-    log: EventLog
-    event_spans: DataFrame
-    session_spans: DataFrame
-    enrichment: DataFrame
-    findings: DataFrame
+    """A run's event log, span index and findings, each computed on first use."""
+
+    def __init__(self, spans: DataFrame) -> None:
+        self.spans = spans
+        self.events = decode.event_spans(spans)
+        self.refs = decode.object_refs(self.events)
+
+    @cached_property
+    def log(self) -> EventLog:
+        return EventLog(
+            events=self.events.select(
+                "event_id", "event_type", F.try_to_timestamp("time").alias("ts"), "attrs"
+            ),
+            objects=declared_objects(self.refs),
+            e2o=self.refs.select("event_id", "object_id", decode.declared_qualifier().alias("qualifier")),
+            o2o=decode.o2o_refs(self.events).select("source_id", "target_id", "qualifier").distinct(),
+        )
+
+    @cached_property
+    def enrichment(self) -> DataFrame:
+        """(trace_id, span_id, anchor) of every attributed enrichment span."""
+        return attribution(self.spans).where("anchor IS NOT NULL")
+
+    def _indexed(self, rows: DataFrame) -> DataFrame:
+        per_anchor = self.enrichment.groupBy("trace_id", F.col("anchor").alias("span_id")).agg(
+            F.array_sort(F.collect_list("span_id")).alias("ids")
+        )
+        none = F.array().cast("array<string>")
+        return rows.join(per_anchor, ["trace_id", "span_id"], "left").withColumn(
+            "ids", F.coalesce("ids", none)
+        )
+
+    @cached_property
+    def event_spans(self) -> DataFrame:
+        return self._indexed(self.events).select(
+            "event_id", "trace_id", "span_id", F.col("ids").alias("enrichment_span_ids")
+        )
+
+    @cached_property
+    def session_spans(self) -> DataFrame:
+        roots = decode.scope_of(self.spans.where("parent_span_id IS NULL"))
+        return self._indexed(roots).select(
+            F.col("scope.session_id").alias("session_id"),
+            "trace_id",
+            F.col("span_id").alias("root_span_id"),
+            F.col("ids").alias("session_span_ids"),
+        )
+
+    @cached_property
+    def findings(self) -> DataFrame:
+        repeated = self.events.groupBy("event_id").count().where("count > 1")
+        return union(
+            [
+                tree_findings(self.spans),
+                decode.scope_findings(self.spans),
+                decode.contract_findings(self.events),
+                decode.sequence_findings(self.spans, self.events),
+                declaration_findings(self.refs),
+                finding(repeated, "event_id_repeated", "event_id"),
+            ]
+        )
 
 
 def _declaration_facts(refs: DataFrame) -> DataFrame:
@@ -97,44 +152,4 @@ def declaration_findings(refs: DataFrame) -> DataFrame:
 
 def map_spans(spans: DataFrame) -> MappedRun:
     """The event log, span index and findings of a run's spans."""
-    events = decode.event_spans(spans)
-    refs = decode.object_refs(events)
-    log = EventLog(
-        events=events.select(
-            "event_id", "event_type", F.try_to_timestamp("time").alias("ts"), "attrs"
-        ),
-        objects=declared_objects(refs),
-        e2o=refs.select("event_id", "object_id", decode.declared_qualifier().alias("qualifier")),
-        o2o=decode.o2o_refs(events).select("source_id", "target_id", "qualifier").distinct(),
-    )
-    repeated = events.groupBy("event_id").count().where("count > 1")
-    roots = decode.scope_of(spans.where("parent_span_id IS NULL"))
-    enrichment = attribution(spans).where("anchor IS NOT NULL")
-    per_anchor = enrichment.groupBy("trace_id", "anchor").agg(
-        F.array_sort(F.collect_list("span_id")).alias("ids")
-    )
-    none = F.array().cast("array<string>")
-    event_index = events.join(
-        per_anchor.withColumnRenamed("anchor", "span_id"), ["trace_id", "span_id"], "left"
-    ).select(
-        "event_id", "trace_id", "span_id", F.coalesce("ids", none).alias("enrichment_span_ids")
-    )
-    session_index = roots.join(
-        per_anchor.withColumnRenamed("anchor", "span_id"), ["trace_id", "span_id"], "left"
-    ).select(
-        F.col("scope.session_id").alias("session_id"),
-        "trace_id",
-        F.col("span_id").alias("root_span_id"),
-        F.coalesce("ids", none).alias("session_span_ids"),
-    )
-    findings = union(
-        [
-            tree_findings(spans),
-            decode.scope_findings(spans),
-            decode.contract_findings(events),
-            decode.sequence_findings(spans, events),
-            declaration_findings(refs),
-            finding(repeated, "event_id_repeated", "event_id"),
-        ]
-    )
-    return MappedRun(log, event_index, session_index, enrichment, findings)
+    return MappedRun(spans)
