@@ -90,10 +90,15 @@ def with_neighbours(
         F.struct(*[F.col(c) for c in carry]).alias("v"),
     )
     here = placed.withColumn("_cell", cell)
-    edges = here.groupBy("_part").agg(
-        F.min_by("_cell", "_row").alias("_first"), F.max_by("_cell", "_row").alias("_last")
+    # the outermost rows of each partition, found by row number (no sort of the cells)
+    sizes = placed.groupBy("_part").agg(F.max("_row").alias("_top"))
+    heads = here.where("_row = 0").select("_part", F.col("_cell").alias("_first"))
+    tails = (
+        here.join(F.broadcast(sizes), "_part")
+        .where("_row = _top")
+        .select("_part", F.col("_cell").alias("_last"))
     )
-    edges = edges.select(
+    edges = heads.join(tails, "_part").select(
         "_part",
         F.lag("_last").over(_across_partitions()).alias("_before"),
         F.lead("_first").over(_across_partitions()).alias("_after"),
