@@ -61,3 +61,5 @@ QUERIES = {
     f.__name__: f
     for f in (op1_byte_bpe, op4_line_quality, op5_histogram_packing, op7_cached_token_counts, op8_preference_turns, op10_interleaved_shards)
 }
+
+ORACLES: dict[str, str] = {}
