@@ -19,8 +19,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ocelens.llm.arrow import map_arrow, slices, texts
+from ocelens.llm.words import WORD
 
-WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _SYMBOL = re.compile(r"[#*$%&|<>]")
 _END = re.compile(r"[.!?:;\"'”’»…)\]][\x20\x09-\x0D]*$")
 _PILED = re.compile(r"[!?]{2,}")

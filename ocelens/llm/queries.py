@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ocelens.llm import byte_bpe, packing, preferences, quality, sharding, token_counts
+from ocelens.llm import byte_bpe, dart_minhash, packing, preferences, quality, sharding, substring_dedup, token_counts
 from ocelens.session import configure, shared_folder
 
 
@@ -29,6 +29,10 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decoded.select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op2_dart_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dart_minhash.classes(table(spark, sf_dir, "documents"))
+
+
 def op4_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.assess(table(spark, sf_dir, "documents"), cleaned=False)
 
@@ -50,6 +54,10 @@ def op8_preference_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return preferences.preference_turns(*preferences.replaced_replies(table(spark, sf_dir, "conversations")))
 
 
+def op9_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.repeats(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
 def op10_interleaved_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = sharding.interleave(table(spark, sf_dir, "documents"), 40)
     return placed.select(
@@ -59,7 +67,16 @@ def op10_interleaved_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_byte_bpe, op4_line_quality, op5_histogram_packing, op7_cached_token_counts, op8_preference_turns, op10_interleaved_shards)
+    for f in (
+        op1_byte_bpe,
+        op2_dart_minhash,
+        op4_line_quality,
+        op5_histogram_packing,
+        op7_cached_token_counts,
+        op8_preference_turns,
+        op9_repeated_passages,
+        op10_interleaved_shards,
+    )
 }
 
 ORACLES: dict[str, str] = {}
