@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ocelens.llm import byte_bpe, dart_minhash, packing, preferences, quality, sharding, substring_dedup, token_counts
+from ocelens.llm import byte_bpe, dart_minhash, embedding_dedup, id_shards, packing, preferences, quality, sharding, substring_dedup, token_counts
 from ocelens.session import configure, shared_folder
 
 
@@ -33,6 +33,10 @@ def op2_dart_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dart_minhash.classes(table(spark, sf_dir, "documents"))
 
 
+def op3_projection_collisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.links(table(spark, sf_dir, "embeddings"))
+
+
 def op4_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.assess(table(spark, sf_dir, "documents"), cleaned=False)
 
@@ -43,6 +47,18 @@ def op5_histogram_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(cut, 2048)
 
 
+def op6_indexed_id_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    store = f"{shared_folder(spark)}/ids-{uuid.uuid4().hex}"
+    id_shards.write_store(docs, public_tokenizers.path("byte_bpe_50k.json"), store, 2)
+    # every key of the table; a doc_id has as many copies as rows
+    keys = docs.groupBy("doc_id").agg(F.count("*").alias("n"))
+    keys = keys.select("doc_id", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("copy"))
+    fetched = id_shards.fetch(spark, store, id_shards.locate(spark, store, keys))
+    n_tokens = (F.length("ids") / 4).cast("long").alias("n_tokens")
+    return fetched.select("doc_id", "start", n_tokens, F.crc32("ids").alias("ids_crc32"))
+
+
 def op7_cached_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     cache = f"{shared_folder(spark)}/token-counts-{uuid.uuid4().hex}"  # a new cache for each run
@@ -70,8 +86,10 @@ QUERIES = {
     for f in (
         op1_byte_bpe,
         op2_dart_minhash,
+        op3_projection_collisions,
         op4_line_quality,
         op5_histogram_packing,
+        op6_indexed_id_shards,
         op7_cached_token_counts,
         op8_preference_turns,
         op9_repeated_passages,
