@@ -231,7 +231,7 @@ def repeats(docs: DataFrame, size: int = 50, with_text: bool = False) -> DataFra
     found = materialise(passages(candidates, first_windows.withColumnRenamed("first", "doc_id"), size))
 
     size_of = candidates.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    shards = max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), size_of // SHARD_BYTES + 1)
+    shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), size_of // SHARD_BYTES + 1)
     shard_of = F.pmod(F.xxhash64("doc_id"), F.lit(shards)).cast("int")
     reach = occurring.select("anchor", shard_of.alias("shard")).distinct()
     asked = found.select("source", "start", F.explode("anchors").alias("_anchor"))
