@@ -66,11 +66,19 @@ def count_tokens(docs: DataFrame, path: str, cache: str) -> DataFrame:
     chosen = rows.join(missing.withColumnRenamed("digest", "_digest"), F.col("doc_id").eqNullSafe(F.col("_chosen")) & (F.col("digest") == F.col("_digest")))
 
     def make():
-        encoder = get()
+        encoder, seen = get(), set()
 
         def step(part: pa.RecordBatch) -> pa.RecordBatch:
-            counts = [len(encoder.encode(t)) // 4 for t in texts(part, "text")]
-            return pa.RecordBatch.from_arrays([part.column("digest"), pa.array(counts, pa.int64())], ["digest", "n_tokens"])
+            rows, counts = [], []
+            for row, (digest, text) in enumerate(zip(part.column("digest").to_pylist(), texts(part, "text"), strict=True)):
+                if digest in seen:  # a repeated row
+                    continue
+                if len(seen) >= 100_000:
+                    seen.clear()
+                seen.add(digest)
+                rows.append(row)
+                counts.append(len(encoder.encode(text)) // 4)
+            return pa.RecordBatch.from_arrays([part.column("digest").take(pa.array(rows, pa.int32())), pa.array(counts, pa.int64())], ["digest", "n_tokens"])
 
         return step
 
