@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 
 from ocelens.functions.attributes import STRING
 
-HASH_PREFIX_STEP = 3
-_LEAF_TARGET = 2000
+#: Hex digits of the row hash that the nodes of each level share; the same for every size,
+#: so a digest depends on its rows alone. Leaves stay small up to some 10^10 rows.
+HASH_PREFIXES = (6, 3, 0)
 
 
 def json_string(col: Column) -> Column:
@@ -81,9 +82,9 @@ def content_digest(hashes: DataFrame, *groups: str, row_hash: str = "row_sha256"
 
     One byte stream cannot be hashed in parallel, so equal rows first collapse to
     (hash, copies) and the distinct hashes are then folded through a prefix tree:
-    each level hashes the sorted digests below it. The tree's depth follows from the
-    number of distinct rows, so leaves stay near ``_LEAF_TARGET`` entries and inner
-    nodes have at most 16**3 children, whatever the size or the copies of the input.
+    each level hashes the sorted digests below it. The tree has one fixed depth, so a
+    group's digest does not depend on what else is digested, and inner nodes have at most
+    16**3 children, whatever the copies of the input.
     """
     counted = hashes.groupBy(*groups, row_hash).agg(F.count("*").alias("copies"))
     leaves = counted.select(
@@ -91,14 +92,8 @@ def content_digest(hashes: DataFrame, *groups: str, row_hash: str = "row_sha256"
         F.col(row_hash).alias("prefix"),
         sha256(F.concat_ws(":", F.col(row_hash), F.col("copies").cast("string"))).alias("digest"),
     )
-    largest = (
-        leaves.groupBy(*groups).count().agg(F.max("count")).first()[0] if groups else leaves.count()
-    ) or 0
-    depth = 0
-    while 16**depth * _LEAF_TARGET < largest:
-        depth += HASH_PREFIX_STEP
     level = leaves
-    for length in range(depth, -1, -HASH_PREFIX_STEP):
+    for length in HASH_PREFIXES:
         level = (
             level.withColumn("prefix", F.substring("prefix", 1, length))
             .groupBy(*groups, "prefix")

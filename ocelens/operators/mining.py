@@ -107,9 +107,18 @@ def dfg_edges(follows: DataFrame) -> DataFrame:
     )
 
 
-def novel_edges(follows: DataFrame, reference_edges: DataFrame) -> DataFrame:
-    """One violation per event couple on an edge the reference never shows."""
+def novel_edges(follows: DataFrame, reference_edges: DataFrame, per_mille: int = 0) -> DataFrame:
+    """One violation per event couple on an edge the reference does not show.
+
+    With ``per_mille`` an edge counts as reference behaviour only from that share of the
+    couples of its object type on; 0 takes every edge.
+    """
     edge = ["object_type", "activity_a", "activity_b"]
+    if per_mille:
+        totals = reference_edges.groupBy("object_type").agg(F.sum("event_couples").alias("_total"))
+        reference_edges = reference_edges.join(totals, "object_type").where(
+            F.col("event_couples") * 1000 >= F.col("_total") * per_mille
+        )
     unseen = _couples(follows).join(reference_edges.select(*edge).distinct(), edge, "left_anti")
     return unseen.select(
         F.lit(NOVEL_EDGE).alias("constraint_id"),

@@ -38,6 +38,7 @@ from ocelens.functions.attributes import (
 from ocelens.functions.canonical import utc_text
 from ocelens.model import EventLog, Partitioned
 from ocelens.operators.rules import DEFAULT_RULES, Rule
+from ocelens.session import materialise
 
 APPROVER_ROLES = ("credit_officer", "risk_manager", "contractor", "intern")
 AGENT_ROLES = ("intake", "retrieval", "scoring", "adjudication")
@@ -101,7 +102,8 @@ class _Orders:
 
     @cached_property
     def lines(self) -> DataFrame:
-        return _lines(self.spark, self.sf_dir).join(self.sessions, "k")
+        # five event types, o2o and the approvals read these rows, so they are written once
+        return materialise(_lines(self.spark, self.sf_dir).join(self.sessions, "k"))
 
     @cached_property
     def handoffs(self) -> DataFrame:

@@ -216,7 +216,9 @@ def read_manifest(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]
         checks[f"manifest_{name}"] = _long(name).isNull()
     files = F.try_variant_get(_get("files"), "$", "array<array<string>>")
     checks["manifest_genai_semconv"] = _shape(_get("genai_semconv")) != "BOOLEAN"
-    checks["manifest_files"] = F.exists(files, lambda f: F.size(f) < 2)
+    checks["manifest_files"] = F.exists(
+        files, lambda f: (F.size(f) < 2) | F.get(f, F.lit(0)).isNull() | F.get(f, F.lit(1)).isNull()
+    )
     checks["manifest_version"] = _long("schema_version") != SCHEMA_VERSION
     checks["manifest_contract_known"] = _text("contract") != SPAN_CONTRACT
     findings = rows.select(
@@ -227,7 +229,8 @@ def read_manifest(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]
         *[_long(n).alias(n) for n in MANIFEST_INTEGERS],
         F.try_variant_get(_get("genai_semconv"), "$", "boolean").alias("genai_semconv"),
         F.transform(
-            files, lambda f: F.struct(f[0].alias("filename"), f[1].alias("sha256"))
+            files,
+            lambda f: F.struct(F.get(f, F.lit(0)).alias("filename"), F.get(f, F.lit(1)).alias("sha256")),
         ).alias("files"),
     )
     return manifest, findings
@@ -237,8 +240,8 @@ def run_files(manifest: DataFrame) -> DataFrame:
     return manifest.select("run_id", F.inline("files"))
 
 
-def file_findings(spark: SparkSession, folder: str, files: DataFrame) -> DataFrame:
-    """Listed files that are missing, changed, or differ from another only by case."""
+def checked_files(spark: SparkSession, folder: str, files: DataFrame) -> DataFrame:
+    """The listed files with ``actual``, the hash of what is there (null: nothing)."""
     found = (
         spark.read.format("binaryFile")
         .load(folder)
@@ -247,25 +250,36 @@ def file_findings(spark: SparkSession, folder: str, files: DataFrame) -> DataFra
             F.sha2("content", 256).alias("actual"),
         )
     )
-    compared = files.join(found, "filename", "left")
+    return files.join(found, "filename", "left")
+
+
+def file_findings(compared: DataFrame) -> DataFrame:
+    """Listed files that are missing, changed, or differ from another only by case.
+
+    A file without a listed hash counts as changed.
+    """
+    files = compared.select("filename")
     folded = files.groupBy(F.lower("filename").alias("folded")).agg(
         F.count("*").alias("n"), F.min("filename").alias("filename")
     )
     return union(
         [
             finding(compared.where("actual IS NULL"), "file_missing", "filename"),
-            finding(compared.where("actual <> sha256"), "file_sha256", "filename", F.col("actual")),
+            finding(
+                compared.where("actual IS NOT NULL AND NOT (actual <=> sha256)"), "file_sha256", "filename", F.col("actual")
+            ),
             finding(folded.where("n > 1"), "file_case_collision", "filename"),
         ]
     )
 
 
 def read_run(spark: SparkSession, folder: str, manifest_name: str = "manifest.json") -> tuple[DataFrame, DataFrame]:
-    """(spans, findings) of the files a manifest lists, hash-verified, nothing else read."""
+    """(spans, findings) of the files a manifest lists; files that fail their hash are left out."""
     manifest, manifest_findings = read_manifest(spark, f"{folder}/{manifest_name}")
-    files = run_files(manifest)
+    compared = materialise(checked_files(spark, folder, run_files(manifest)))
+    sound = compared.where("actual <=> sha256 AND actual IS NOT NULL")
     lines = read_lines(spark, folder).join(
-        files.select(F.col("filename").alias("source_file")), "source_file", "left_semi"
+        sound.select(F.col("filename").alias("source_file")), "source_file", "left_semi"
     )
     spans, span_findings = parse_spans(lines)
     traces = spans.agg(F.countDistinct("trace_id").alias("traces")).withColumn("one", F.lit(1))
@@ -274,7 +288,7 @@ def read_run(spark: SparkSession, folder: str, manifest_name: str = "manifest.js
     findings = union(
         [
             manifest_findings,
-            file_findings(spark, folder, files),
+            file_findings(compared),
             span_findings,
             uniqueness_findings(spans),
             finding(miscounted, "session_count", "run_id", F.col("traces").cast("string")),

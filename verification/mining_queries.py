@@ -64,12 +64,9 @@ def user_directly_follows_graph(spark, sf_dir):
 
 @_query
 def novel_directly_follows(spark, sf_dir):
-    kinds = ["Session", "Application", "Applicant", "CreditDecision", "DataResource"]
-    clean = mining.dfg_edges(mining.directly_follows(order_log(spark, sf_dir, EARLIER), kinds))
-    # edges seen once are noise, not reference behaviour
-    reference = clean.where("event_couples > 25")
-    later = mining.directly_follows(order_log(spark, sf_dir, LATER), kinds)
-    return mining.novel_edges(later, reference).select(
+    clean = mining.dfg_edges(mining.directly_follows(order_log(spark, sf_dir, EARLIER)))
+    later = mining.directly_follows(order_log(spark, sf_dir, LATER))
+    return mining.novel_edges(later, clean, per_mille=1).select(
         "constraint_id", F.array_join("ocel_event_ids", ",").alias("events"), "session_id", "detail"
     )
 
@@ -292,12 +289,11 @@ SELECT 'OCDFG.novel_edge' AS constraint_id, first_id || ',' || second_id AS even
 FROM (SELECT object_type, session_id, event_type AS activity_a, event_id AS first_id,
         lead(event_type) OVER w AS activity_b, lead(event_id) OVER w AS second_id
       FROM rel WHERE session_id IN (SELECT session_id FROM sess WHERE {LATER})
-        AND object_type IN ('Session', 'Application', 'Applicant', 'CreditDecision', 'DataResource')
       WINDOW w AS (PARTITION BY object_type, object_id ORDER BY ts, event_id))
 WHERE second_id IS NOT NULL AND (object_type, activity_a, activity_b) NOT IN (
-  SELECT (object_type, activity_a, activity_b) FROM ({_DFG.format(
-      rel=f"(SELECT * FROM rel WHERE session_id IN (SELECT session_id FROM sess WHERE {EARLIER}))")})
-  WHERE event_couples > 25)
+  SELECT (object_type, activity_a, activity_b) FROM (SELECT *, sum(event_couples) OVER (PARTITION BY object_type) AS total
+    FROM ({_DFG.format(rel=f"(SELECT * FROM rel WHERE session_id IN (SELECT session_id FROM sess WHERE {EARLIER}))")}))
+  WHERE event_couples * 1000 >= total)
 GROUP BY object_type, activity_a, activity_b, first_id, second_id"""),
     "notion_statistics": with_orders("""
 SELECT n.case_notion, t.total AS events_total, count(DISTINCT r.event_id) AS events_kept,

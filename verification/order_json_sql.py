@@ -49,6 +49,7 @@ log_row AS (
 log_digest AS (
   SELECT sha256(string_agg(d, '' ORDER BY d)) AS digest FROM (
     SELECT sha256(string_agg(d, '' ORDER BY d)) AS d FROM (
-      SELECT h, sha256(h || ':' || count(*)) AS d FROM log_row GROUP BY h)
-    GROUP BY CASE WHEN (SELECT count(DISTINCT h) FROM log_row) > 2000 THEN substr(h, 1, 3) ELSE '' END)
+      SELECT substr(h, 1, 6) AS p, sha256(string_agg(d, '' ORDER BY d)) AS d FROM (
+        SELECT h, sha256(h || ':' || count(*)) AS d FROM log_row GROUP BY h) GROUP BY 1)
+    GROUP BY substr(p, 1, 3))
 )"""
