@@ -9,9 +9,9 @@ keeps its earliest dart. Two documents keep the same dart with the probability o
 weighted Jaccard similarity. The number of darts hardly depends on the length of a text.
 
 Documents are joined on bands of coordinates. A band that many share is not expanded into
-pairs: every member is compared with the smallest and with the greatest member first, and
-only where members of a band still belong to different classes they are compared in
-blocks, by their signatures. Every pair that is proposed is verified on its whole texts.
+pairs: every member is compared with the smallest one first. Only where members of a band
+still belong to different classes, they are compared in blocks, task by task, and a task
+gives back no more links than it has classes. Every link is verified on the whole texts.
 """
 
 from __future__ import annotations
@@ -19,7 +19,6 @@ from __future__ import annotations
 import hashlib
 import math
 from dataclasses import dataclass
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -200,35 +199,58 @@ def _alike(pairs: DataFrame, signed: DataFrame, sketch: Sketch) -> DataFrame:
     return map_arrow(joined.select("a", "b", "_ma", "_mb"), run, "a long, b long").distinct()
 
 
-def _block_pairs(members: DataFrame, sketch: Sketch, block: int = 512) -> DataFrame:
-    """Alike pairs of different classes in bands whose members are still of several classes.
+def _links_in_blocks(members: DataFrame, sketch: Sketch, rows: int = 128, shingles_: int = 1 << 18) -> DataFrame:
+    """(a, b): links between classes of a family, enough to join all that are linked.
 
-    Columns: bucket, doc_id, label, n_shingles, marks, members (how many the band has). Members are dealt to
-    blocks and blocks are compared two by two, so no task holds more than two blocks.
+    Columns: family, doc_id, label, n_shingles, marks, bands, text. Members of a family are
+    dealt to blocks of at most so many rows and, about, shingles; a task compares two
+    blocks. A pair counts if it shares a band, and is verified unless the links found in
+    the task have joined its labels already, so a task gives back less links than labels.
     """
-    blocks = F.ceil(F.col("members") / block).cast("int")
-    own = F.pmod(F.xxhash64("doc_id"), blocks).cast("int")
-    dealt = members.withColumn("_own", own).withColumn("_other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    dealt = dealt.select("bucket", "doc_id", "label", "n_shingles", "marks", "_own", F.least("_own", "_other").alias("_i"), F.greatest("_own", "_other").alias("_j"))
+    sizes = members.groupBy("family").agg(
+        F.ceil(F.greatest(F.count("*") / rows, F.sum("n_shingles") / shingles_)).cast("int").alias("blocks")
+    )
+    sizes = materialise(sizes.withColumnRenamed("family", "_family"))
+    joined = members.join(sizes, F.col("family") == F.col("_family")).withColumn("_own", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
+    dealt = joined.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
+        "family", "doc_id", "label", "n_shingles", "marks", "bands", "text", "_own",
+        F.least("_own", "_other").alias("_i"), F.greatest("_own", "_other").alias("_j"),
+    )
     least, similarity = sketch.least_equal, sketch.similarity
 
     def compare(table: pa.Table) -> pa.Table:
-        ids, labels, sizes, own_ = (table.column(c).to_numpy() for c in ("doc_id", "label", "n_shingles", "_own"))
+        ids, labels, sizes_, own = (table.column(c).to_numpy() for c in ("doc_id", "label", "n_shingles", "_own"))
         marks = np.frombuffer(b"".join(table.column("marks").to_pylist()), np.uint8).reshape(-1, sketch.coordinates)
+        bands = np.array(table.column("bands").to_pylist(), np.int64).reshape(-1, sketch.bands)
         i, j = table.column("_i")[0].as_py(), table.column("_j")[0].as_py()
-        right = np.flatnonzero(own_ == j)
-        out_a, out_b = [], []
-        for at in np.flatnonzero(own_ == i):
-            other = right[(labels[right] != labels[at]) & ((ids[right] > ids[at]) if i == j else (ids[right] != ids[at]))]
-            other = other[np.minimum(sizes[other], sizes[at]) >= similarity * np.maximum(sizes[other], sizes[at])]
-            other = other[(marks[other] == marks[at]).sum(axis=1) >= least]
-            out_a.append(np.minimum(ids[other], ids[at]))
-            out_b.append(np.maximum(ids[other], ids[at]))
-        empty = [np.empty(0, np.int64)]
-        return pa.table({"a": np.concatenate(out_a or empty), "b": np.concatenate(out_b or empty)})
+        text, known = table.column("text"), {}
+        root = {label: label for label in labels.tolist()}
+
+        def top(label: int) -> int:
+            while root[label] != label:
+                root[label] = label = root[root[label]]
+            return label
+
+        def body(row: int) -> tuple[np.ndarray, np.ndarray]:
+            if row not in known:
+                known[row] = shingles(WORD.findall(text[row].as_py()), sketch.words)
+            return known[row]
+
+        right, out = np.flatnonzero(own == j), []
+        for at in np.flatnonzero(own == i).tolist():
+            other = right[(labels[right] != labels[at]) & ((ids[right] > ids[at]) | (i != j))]
+            other = other[np.minimum(sizes_[other], sizes_[at]) >= similarity * np.maximum(sizes_[other], sizes_[at])]
+            other = other[(bands[other] == bands[at]).any(axis=1)]
+            equal = (marks[other] == marks[at]).sum(axis=1)
+            for row in other[np.argsort(-equal, kind="stable")][: int((equal >= least).sum())].tolist():
+                a, b = top(int(labels[at])), top(int(labels[row]))
+                if a != b and _similar(body(at), body(row), similarity):
+                    root[max(a, b)] = min(a, b)
+                    out.append((int(ids[at]), int(ids[row])))
+        return pa.table({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([y for _, y in out], pa.int64())})
 
     ship(members.sparkSession)
-    return dealt.groupBy("bucket", "_i", "_j").applyInArrow(compare, "a long, b long").distinct()
+    return dealt.groupBy("family", "_i", "_j").applyInArrow(compare, "a long, b long")
 
 
 def classes(docs: DataFrame, sketch: Sketch | None = None) -> DataFrame:
@@ -255,39 +277,28 @@ def classes(docs: DataFrame, sketch: Sketch | None = None) -> DataFrame:
     chosen = materialise(chosen.select("doc_id", "n_shingles", "marks", "bands"))
     narrow = chosen.select("doc_id", "n_shingles", "marks")
     listed = chosen.select("doc_id", F.explode("bands").alias("bucket"))
-    ends = listed.groupBy("bucket").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.count("*").alias("members"))
-    ends = materialise(ends.where("low < high").withColumnRenamed("bucket", "_bucket"))
-    shared = materialise(listed.join(ends, F.col("bucket") == F.col("_bucket")).select("bucket", "doc_id", "low", "high", "members"))
-
-    def star(rows: DataFrame, center: str) -> DataFrame:
-        pairs = rows.where(F.col("doc_id") != F.col(center)).select(F.least("doc_id", center).alias("a"), F.greatest("doc_id", center).alias("b"))
-        return pairs.distinct()
-
-    def labels(edges: list[DataFrame]) -> DataFrame:
-        found = components(reduce(DataFrame.unionByName, edges))
-        return materialise(found.select(F.col("id").alias("_id"), F.col("component").alias("_component")))
-
-    def labelled(found: DataFrame) -> DataFrame:
-        """Members of bands that still have several classes."""
-        rows = materialise(shared.join(found, F.col("doc_id") == F.col("_id"), "left").select(*shared.columns, F.coalesce("_component", "doc_id").alias("label")))
-        mixed = rows.groupBy("bucket").agg(F.min("label").alias("_a"), F.max("label").alias("_b")).where("_a <> _b")
-        return materialise(rows.join(materialise(mixed.select(F.col("bucket").alias("_bucket"))), F.col("bucket") == F.col("_bucket")).drop("_bucket"))
+    lows = listed.groupBy("bucket").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("_high"))
+    lows = materialise(lows.where("low < _high").select(F.col("bucket").alias("_bucket"), "low"))
+    shared = materialise(listed.join(lows, F.col("bucket") == F.col("_bucket")).select("bucket", "doc_id", "low"))
 
+    # the texts that may be compared, moved once
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    done = materialise(_alike(star(shared, "low"), narrow, sketch))
-    # the texts that may be compared, moved once; later rounds only see members of these bands
     asked = shared.select("doc_id").distinct().withColumnRenamed("doc_id", "_id")
     bodies = materialise(source.join(asked, F.col("doc_id") == F.col("_id")).select("doc_id", "text").dropDuplicates(["doc_id"]))
-    edges = [materialise(verified(done, bodies, sketch))]
-    found = labels(edges)
-    rest = labelled(found)
-    more = materialise(_alike(star(rest.where("members > 2"), "high"), narrow, sketch).join(done, ["a", "b"], "left_anti"))
-    edges.append(materialise(verified(more, bodies, sketch)))
-    found = labels(edges)
-    rest = labelled(found).where("members > 2").select("bucket", "doc_id", "label", "members").join(narrow, "doc_id")
-    last = materialise(_block_pairs(rest, sketch).join(done.unionByName(more), ["a", "b"], "left_anti"))
-    edges.append(materialise(verified(last, bodies, sketch)))
-    found = labels(edges)
+
+    # every member of a band with its smallest member
+    stars = shared.where("doc_id <> low").select(F.col("low").alias("a"), F.col("doc_id").alias("b")).distinct()
+    edges = materialise(verified(_alike(stars, narrow, sketch), bodies, sketch))
+    found = materialise(components(edges).select(F.col("id").alias("_id"), F.col("component").alias("_component")))
+
+    # bands that still have several classes; their members, joined over bands, are a family
+    rows = materialise(shared.join(found, F.col("doc_id") == F.col("_id"), "left").select(*shared.columns, F.coalesce("_component", "doc_id").alias("label")))
+    mixed = rows.groupBy("bucket").agg(F.min("label").alias("_a"), F.max("label").alias("_b")).where("_a <> _b")
+    rest = materialise(rows.join(materialise(mixed.select(F.col("bucket").alias("_bucket"))), F.col("bucket") == F.col("_bucket")).drop("_bucket"))
+    families = components(rest.select(F.col("doc_id").alias("a"), F.col("low").alias("b"))).select(F.col("id").alias("doc_id"), F.col("component").alias("family"))
+    members = rest.select("doc_id", "label").distinct().join(families, "doc_id").join(chosen, "doc_id").join(bodies, "doc_id")
+    more = materialise(_links_in_blocks(materialise(members), sketch))
+    found = materialise(components(edges.unionByName(more)).select(F.col("id").alias("_id"), F.col("component").alias("_component")))
 
     named = signed.select("doc_id", F.when(F.col("marks").isNotNull(), F.col("words_digest")).alias("words_digest"))
     named = named.join(firsts.withColumnRenamed("words_digest", "_digest"), F.col("words_digest") == F.col("_digest"), "left")
