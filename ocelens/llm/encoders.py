@@ -11,20 +11,24 @@ import json
 import os
 import re
 from collections.abc import Callable, Iterator
+from contextlib import suppress
 from itertools import islice
 
 import numpy as np
 from pyspark.sql import SparkSession
 
-#: Remembered cuts per worker in each of two generations (some 80 MB each), and cuts of a
+#: Remembered cuts per worker in each of two generations (some 120 MB each), and cuts of a
 #: long text taken at a time.
-MEMORY, AT_A_TIME = 400_000, 200_000
+MEMORY, AT_A_TIME = 600_000, 200_000
 
 #: A private-use character that separates cuts in one call; a cut that holds it goes alone.
 _BETWEEN = "\ue000"
 
 # Unicode white space as the tokenizers see it: Python's \s also has the separators 1C-1F.
 _SPACE, _SOLID = r"[^\S\x1c-\x1f]", r"[\S\x1c-\x1f]"
+# Precomposed letters that end where these marks begin, for every tokenizer of both families.
+_BEFORE_MARK = r"[A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff]+(?=[.,;:!?])"
+_WORD_ENDS = f"{_BEFORE_MARK}|{_SOLID}+"
 
 
 class CutEncoder:
@@ -61,7 +65,7 @@ class LibraryEncoder(CutEncoder):
     """A file of the tokenizers library, special strings handled as its default.
 
     Two families of pre-tokenizers are cut into remembered parts: those that split at a
-    space which then starts the next word, and those that drop white space. Any other
+    space which then starts the next word, and those that drop white space and case. Any other
     file, and any text that holds a special string, goes through the library as a whole.
     """
 
@@ -75,7 +79,7 @@ class LibraryEncoder(CutEncoder):
         cut = _cut_rule(rules)
         self._whole = cut is None
         self._apart: list[int] = []
-        if cut == f"{_SOLID}+":
+        if cut == _WORD_ENDS:
             self._apart = self._tokenizer.encode(_BETWEEN, add_special_tokens=False).ids
         super().__init__(re.compile(cut or r"(?s).+"))
 
@@ -96,12 +100,17 @@ class LibraryEncoder(CutEncoder):
     def encode(self, text: str) -> bytes:
         if self._whole or any(s in text for s in self._special):
             return self.learn([text])[0]
+        if self._apart:
+            # Latin-1 texts are lower-cased the same way, letter by letter, by anyone
+            with suppress(UnicodeEncodeError):
+                text.encode("latin-1")
+                text = text.lower()
         return super().encode(text)
 
 
 def drops_white_space(spec: bytes) -> bool:
     """Whether the ids of a text depend on its white space only as a separator."""
-    return _cut_rule(json.loads(spec)) == f"{_SOLID}+"
+    return _cut_rule(json.loads(spec)) == _WORD_ENDS
 
 
 def _cut_rule(rules: dict) -> str | None:
@@ -112,7 +121,7 @@ def _cut_rule(rules: dict) -> str | None:
     normal, pre = rules.get("normalizer"), rules.get("pre_tokenizer") or {}
     if normal is None and pre.get("type") == "ByteLevel" and pre.get("use_regex") and not pre.get("add_prefix_space"):
         # one space belongs to the word behind it, earlier white space is a token of its own
-        return f" ?{_SOLID}+|{_SPACE}+(?!{_SOLID})|{_SPACE}"
+        return f" ?{_BEFORE_MARK}| ?{_SOLID}+|{_SPACE}+(?!{_SOLID})|{_SPACE}"
     steps = (normal or {}).get("normalizers", [])
     shape = [s.get("type") for s in steps]
     parts = pre.get("pretokenizers", [])
@@ -127,7 +136,7 @@ def _cut_rule(rules: dict) -> str | None:
         and not parts[1].get("add_prefix_space")
         and not parts[1].get("use_regex")
     ):
-        return f"{_SOLID}+"
+        return _WORD_ENDS
     return None
 
 
