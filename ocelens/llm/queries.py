@@ -97,4 +97,66 @@ QUERIES = {
     )
 }
 
-ORACLES: dict[str, str] = {}
+# Words of every text: runs without ASCII white space.
+_WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
+
+# Smallest id that links reach, by repeated minima over a table links(a, b) in both directions.
+_REACHED = """
+reached(id, component) AS (
+  SELECT id, id FROM ids
+  UNION
+  SELECT l.b, r.component FROM reached r JOIN links l ON l.a = r.id WHERE r.component < l.b
+),
+least AS (SELECT id, min(component) AS component_id FROM reached GROUP BY id)"""
+
+ORACLES: dict[str, str] = {
+    "op2_dart_minhash": f"""
+WITH RECURSIVE tokens AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+starts AS (SELECT doc_id, w, unnest(range(greatest(len(w) - 4, 1))) AS i FROM tokens WHERE len(w) > 0),
+weights AS (SELECT doc_id, md5(array_to_string(list_slice(w, i + 1, i + 5), ' ')) AS s, count(*) AS n FROM starts GROUP BY ALL),
+sizes AS (SELECT doc_id, sum(n) AS total FROM weights GROUP BY 1),
+common AS (SELECT x.doc_id AS a, y.doc_id AS b, sum(least(x.n, y.n)) AS shared
+  FROM weights x JOIN weights y ON x.s = y.s AND x.doc_id <> y.doc_id GROUP BY ALL),
+links AS (SELECT a, b FROM common JOIN sizes p ON p.doc_id = a JOIN sizes q ON q.doc_id = b
+  WHERE shared * 5 >= 4 * (p.total + q.total - shared)),
+ids AS (SELECT DISTINCT doc_id AS id FROM documents),{_REACHED}
+SELECT d.doc_id, component_id, d.doc_id = component_id AS kept FROM documents d JOIN least ON id = d.doc_id""",
+    "op3_projection_collisions": f"""
+WITH RECURSIVE usable AS (
+  SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings
+  WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+links AS (SELECT x.vec_id AS a, y.vec_id AS b FROM usable x JOIN usable y
+  ON x.vec_id <> y.vec_id AND len(x.v) = len(y.v) AND list_cosine_similarity(x.v, y.v) >= 0.95),
+ids AS (SELECT DISTINCT vec_id AS id FROM embeddings),{_REACHED}
+SELECT e.vec_id, (SELECT count(*) FROM links WHERE a = e.vec_id) AS n_links, component_id, e.vec_id = component_id AS kept
+FROM embeddings e JOIN least ON id = e.vec_id""",
+    "op8_preference_turns": """
+WITH turns AS (SELECT DISTINCT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+last AS (SELECT conv_id, turn, text, row_number() OVER (ORDER BY conv_id) AS i, count(*) OVER () AS n
+  FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC, text DESC) AS k FROM turns WHERE role = 'assistant') WHERE k = 1),
+swap AS (SELECT l.conv_id, l.turn, l.text, o.text AS other FROM last l JOIN last o ON o.i = l.i % l.n + 1),
+sides AS (
+  SELECT t.conv_id, 'chosen' AS side, t.turn, t.role, t.text FROM turns t JOIN swap s ON s.conv_id = t.conv_id
+  UNION SELECT t.conv_id, 'rejected', t.turn, t.role,
+    CASE WHEN t.role = 'assistant' AND t.turn = s.turn AND t.text = s.text THEN s.other ELSE t.text END
+  FROM turns t JOIN swap s ON s.conv_id = t.conv_id),
+placed AS (SELECT *, row_number() OVER (PARTITION BY conv_id, side ORDER BY turn, role, text) - 1 AS position FROM sides),
+same AS (SELECT conv_id, position, count(*) = 2 AND min((role, text)) = max((role, text)) AS same FROM placed GROUP BY 1, 2),
+prompts AS (SELECT conv_id, coalesce(min(position) FILTER (NOT same), max(position) + 1) AS prompt_turns FROM same GROUP BY 1)
+SELECT conv_id AS pair_id, CASE WHEN position < prompt_turns THEN 'prompt' ELSE side END AS part, position, role, text,
+  '<|' || role || '|>' || chr(10) || text || chr(10) AS rendered,
+  position >= prompt_turns AND role = 'assistant' AS trained, prompt_turns
+FROM placed JOIN prompts USING (conv_id) WHERE position >= prompt_turns OR side = 'chosen'""",
+    "op9_repeated_passages": f"""
+WITH tokens AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+windows AS (SELECT doc_id, i, md5(array_to_string(list_slice(w, i + 1, i + 50), ' ')) AS h
+  FROM (SELECT doc_id, w, unnest(range(greatest(len(w) - 49, 0))) AS i FROM tokens)),
+later AS (SELECT doc_id, i FROM (SELECT *, min(doc_id) OVER (PARTITION BY h) AS first FROM windows) WHERE first < doc_id),
+gone AS (SELECT DISTINCT doc_id, i + k AS at FROM later, range(50) r(k)),
+kept AS (SELECT t.doc_id, string_agg(t.word, ' ' ORDER BY t.at) AS text
+  FROM (SELECT doc_id, unnest(w) AS word, unnest(range(len(w))) AS at FROM tokens) t
+  ANTI JOIN gone g ON g.doc_id = t.doc_id AND g.at = t.at GROUP BY 1)
+SELECT t.doc_id, len(w) AS n_words, coalesce(n, 0) AS n_removed, sha256(coalesce(k.text, '')) AS kept_sha256
+FROM tokens t LEFT JOIN (SELECT doc_id, count(*) AS n FROM gone GROUP BY 1) g ON g.doc_id = t.doc_id LEFT JOIN kept k ON k.doc_id = t.doc_id""",
+}
