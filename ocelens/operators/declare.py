@@ -1,9 +1,9 @@
 """DECLARE discovery and conformance on a flattened log (case_id, event_id, activity, ts).
 
-Per case and ordered activity pair everything the templates need is a mergeable
-aggregate: counts, first and last occurrence, adjacency in the case, and adjacency in
-the case reduced to the two activities (which decides the alternate family). No trace
-is ever gathered. A case supports a template when it activates it; confidence is the
+Per case and ordered pair of activities that it has, everything the templates need is a
+mergeable aggregate: counts, first and last occurrence, adjacency in the case, and adjacency
+in the case reduced to the two activities (which decides the alternate family). No trace
+is ever gathered, and no case is multiplied by activities it does not have. A case supports a template when it activates it; confidence is the
 satisfied share of the activated cases.
 
     template              activated by   satisfied when
@@ -29,7 +29,9 @@ satisfied share of the activated cases.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ocelens.functions.ordering import with_neighbours
@@ -53,176 +55,96 @@ BINARY = (
     "nonchainsuccession",
 )
 TEMPLATES = (*UNARY, *BINARY)
-MAX_ALPHABET = 200
-
-
-def alphabet(flat: DataFrame) -> list[str]:
-    """The distinct activities: a vocabulary, so its size is checked before it is used."""
-    names = [r[0] for r in flat.select("activity").distinct().take(MAX_ALPHABET + 1)]
-    if len(names) > MAX_ALPHABET:
-        raise ValueError(f"more than {MAX_ALPHABET} activities; map them to event types first")
-    return sorted(names)
-
-
-def _letters(activities: list[str]) -> Column:
-    return F.array(*[F.lit(a) for a in activities])
+#: The activity whose presence in a case activates a template.
+ACTIVATED_BY = {
+    **dict.fromkeys(("coexistence", "succession", "altsuccession", "chainsuccession", "noncoexistence"), "either"),
+    **dict.fromkeys(("precedence", "altprecedence", "chainprecedence"), "b"),
+    **dict.fromkeys(
+        ("responded_existence", "response", "altresponse", "chainresponse", "nonsuccession", "nonchainsuccession"), "a"
+    ),
+}
+#: Templates that a case with one of the two activities satisfies.
+NEGATIVE = ("noncoexistence", "nonsuccession", "nonchainsuccession")
 
 
-def _pair_facts(flat: DataFrame, activities: list[str], alternate: bool) -> DataFrame:
-    """Per (case, a, b) with a or b present: counts, extremes and adjacencies."""
-    letters = _letters(activities)
-    known = flat.where(F.col("activity").isin(activities))
+def _stats(flat: DataFrame) -> DataFrame:
+    """Per case and activity: how often, first and last."""
     at = F.struct("ts", "event_id")
-    stats = known.groupBy("case_id", "activity").agg(
+    return flat.groupBy("case_id", "activity").agg(
         F.count("*").alias("n"), F.min(at).alias("lo"), F.max(at).alias("hi")
     )
-    others = stats.withColumn("other", F.explode(letters)).where("other <> activity")
-    none = lambda kind: F.lit(None).cast(kind)
-    blank = {
-        "n_a": none("bigint"),
-        "lo_a": none("struct<ts:timestamp,event_id:string>"),
-        "hi_a": none("struct<ts:timestamp,event_id:string>"),
-        "n_b": none("bigint"),
-        "lo_b": none("struct<ts:timestamp,event_id:string>"),
-        "hi_b": none("struct<ts:timestamp,event_id:string>"),
-        "adjacent": none("bigint"),
-        "paired": none("bigint"),
-    }
 
-    def facts(df: DataFrame, a: str, b: str, **known_facts: Column) -> DataFrame:
-        return df.select(
-            "case_id",
-            F.col(a).alias("a"),
-            F.col(b).alias("b"),
-            *[known_facts.get(k, v).alias(k) for k, v in blank.items()],
-        )
 
-    follows = with_neighbours(
-        flat.select("case_id", "ts", "event_id", "activity"),
-        ["case_id"],
-        ["ts", "event_id"],
-        following="then",
-        carry=["activity"],
-    )
-    adjacent = (
-        follows.withColumn("then", F.col("then.activity"))
-        .where(F.col("activity").isin(activities) & F.col("then").isin(activities))
-        .where("activity <> then")
-        .groupBy("case_id", "activity", "then")
-        .agg(F.count("*").alias("k"))
-    )
-    parts = [
-        facts(others, "activity", "other", n_a=F.col("n"), lo_a=F.col("lo"), hi_a=F.col("hi")),
-        facts(others, "other", "activity", n_b=F.col("n"), lo_b=F.col("lo"), hi_b=F.col("hi")),
-        facts(adjacent, "activity", "then", adjacent=F.col("k")),
-    ]
-    if alternate:
-        reduced = (
-            known.select("case_id", "ts", "event_id", "activity", F.explode(letters).alias("other"))
-            .where("other <> activity")
-            .withColumn("p", F.least("activity", "other"))
-            .withColumn("q", F.greatest("activity", "other"))
-            .drop("other")
-        )
-        paired = (
-            with_neighbours(
-                reduced,
-                ["case_id", "p", "q"],
-                ["ts", "event_id"],
-                following="then",
-                carry=["activity"],
-            )
-            .withColumn("then", F.col("then.activity"))
-            .where("then IS NOT NULL AND activity <> then")
-            .groupBy("case_id", "activity", "then")
-            .agg(F.count("*").alias("k"))
-        )
-        parts.append(facts(paired, "activity", "then", paired=F.col("k")))
-    rows = parts[0]
-    for part in parts[1:]:
-        rows = rows.unionByName(part)
-    return rows.groupBy("case_id", "a", "b").agg(
-        *[F.max(c).alias(c) for c in ("n_a", "lo_a", "hi_a", "n_b", "lo_b", "hi_b")],
-        F.coalesce(F.max("adjacent"), F.lit(0)).alias("adjacent"),
-        F.coalesce(F.max("paired"), F.lit(0)).alias("paired"),
+def _met(flat: DataFrame, stats: DataFrame, alternate: bool, only: DataFrame | None = None) -> DataFrame:
+    """Per case and ordered pair of activities that it has both of: counts, extremes, adjacencies.
+
+    ``only`` (a, b) keeps to some pairs. An event is paired with activities of its own
+    case, so the work does not depend on how many activities there are elsewhere.
+    """
+    side = lambda s: stats.select(
+        "case_id", F.col("activity").alias(s), *[F.col(c).alias(f"{c}_{s}") for c in ("n", "lo", "hi")]
     )
+    both = side("a").join(side("b"), "case_id").where("a <> b")
+    if only is not None:
+        both = both.join(only, ["a", "b"], "left_semi")
+    events = flat.select("case_id", "ts", "event_id", "activity")
 
+    def next_to(rows: DataFrame, group: list[str], name: str) -> DataFrame:
+        follows = with_neighbours(rows, group, ["ts", "event_id"], following="then", carry=["activity"])
+        pairs = follows.select("case_id", F.col("activity").alias("a"), F.col("then.activity").alias("b"))
+        return pairs.where("a <> b").groupBy("case_id", "a", "b").agg(F.count("*").alias(name))
 
-def _binary_rules() -> dict[str, tuple[Column, Column]]:
-    has_a, has_b = F.col("n_a").isNotNull(), F.col("n_b").isNotNull()
-    either, both = has_a | has_b, has_a & has_b
+    both = both.join(next_to(events, ["case_id"], "adjacent"), ["case_id", "a", "b"], "left")
+    if alternate:
+        reduced = events.join(stats.select("case_id", F.col("activity").alias("other")), "case_id").where("other <> activity")
+        reduced = reduced.select(
+            *events.columns, F.least("activity", "other").alias("p"), F.greatest("activity", "other").alias("q")
+        )
+        if only is not None:
+            wanted = only.select(F.least("a", "b").alias("p"), F.greatest("a", "b").alias("q")).distinct()
+            reduced = reduced.join(wanted, ["p", "q"], "left_semi").select(*events.columns, "p", "q")
+        both = both.join(next_to(reduced, ["case_id", "p", "q"], "paired"), ["case_id", "a", "b"], "left")
+    else:
+        both = both.withColumn("paired", F.lit(None).cast("long"))
+    return both.fillna(0, ["adjacent", "paired"])
 
-    def sure(cond: Column) -> Column:
-        return F.coalesce(cond, F.lit(False))
 
-    response = sure(F.col("hi_b") > F.col("hi_a"))
-    precedence = sure(F.col("lo_a") < F.col("lo_b"))
-    alt_r, alt_p = sure(F.col("paired") == F.col("n_a")), sure(F.col("paired") == F.col("n_b"))
-    chain_r, chain_p = sure(F.col("adjacent") == F.col("n_a")), sure(F.col("adjacent") == F.col("n_b"))
+def _satisfied() -> dict[str, Column]:
+    """For a case with both activities."""
+    response, precedence = F.col("hi_b") > F.col("hi_a"), F.col("lo_a") < F.col("lo_b")
+    alt_r, alt_p = F.col("paired") == F.col("n_a"), F.col("paired") == F.col("n_b")
+    chain_r, chain_p = F.col("adjacent") == F.col("n_a"), F.col("adjacent") == F.col("n_b")
     return {
-        "responded_existence": (has_a, has_b),
-        "coexistence": (either, both),
-        "response": (has_a, response),
-        "precedence": (has_b, precedence),
-        "succession": (either, response & precedence),
-        "altresponse": (has_a, alt_r),
-        "altprecedence": (has_b, alt_p),
-        "altsuccession": (either, alt_r & alt_p),
-        "chainresponse": (has_a, chain_r),
-        "chainprecedence": (has_b, chain_p),
-        "chainsuccession": (either, chain_r & chain_p),
-        "noncoexistence": (either, ~both),
-        "nonsuccession": (has_a, ~has_b | sure(F.col("hi_b") < F.col("lo_a"))),
-        "nonchainsuccession": (has_a, F.col("adjacent") == 0),
+        "responded_existence": F.lit(True),
+        "coexistence": F.lit(True),
+        "response": response,
+        "precedence": precedence,
+        "succession": response & precedence,
+        "altresponse": alt_r,
+        "altprecedence": alt_p,
+        "altsuccession": alt_r & alt_p,
+        "chainresponse": chain_r,
+        "chainprecedence": chain_p,
+        "chainsuccession": chain_r & chain_p,
+        "noncoexistence": F.lit(False),
+        "nonsuccession": F.col("hi_b") < F.col("lo_a"),
+        "nonchainsuccession": F.col("adjacent") == 0,
     }
 
 
-def case_verdicts(
-    flat: DataFrame, activities: list[str], templates: tuple[str, ...] = TEMPLATES
-) -> DataFrame:
-    """(case_id, template, a, b, satisfied) for every activated template instance."""
-    at = F.struct("ts", "event_id")
-    out = None
-    unary = [t for t in UNARY if t in templates]
-    if unary:
-        # one entry per activity of a closed vocabulary, so the map is small
-        counted = flat.groupBy("case_id", "activity").agg(
-            F.count("*").alias("n"), F.min(at).alias("lo")
-        )
-        cases = counted.groupBy("case_id").agg(
-            F.map_from_entries(F.collect_list(F.struct("activity", "n"))).alias("counts"),
-            F.min_by("activity", "lo").alias("start"),
-        )
-        per_letter = cases.withColumn("a", F.explode(_letters(activities))).withColumn(
-            "n", F.element_at("counts", F.col("a"))
-        )
-        checks = {
-            "existence": (F.lit(True), F.col("n").isNotNull()),
-            "absence": (F.lit(True), F.col("n").isNull()),
-            "exactly_one": (F.col("n").isNotNull(), F.col("n") == 1),
-            "init": (F.lit(True), F.col("start") == F.col("a")),
-        }
-        out = _unfold(per_letter.withColumn("b", F.lit("")), {t: checks[t] for t in unary})
-    binary = [t for t in BINARY if t in templates]
-    if binary:
-        facts = _pair_facts(flat, activities, any(t in ALTERNATE for t in binary))
-        rules = _binary_rules()
-        pairs = _unfold(facts, {t: rules[t] for t in binary})
-        pairs = pairs.where(~F.col("template").isin(*SYMMETRIC) | (F.col("a") < F.col("b")))
-        out = pairs if out is None else out.unionByName(pairs)
-    return out
+def _start(stats: DataFrame) -> DataFrame:
+    return stats.groupBy("case_id").agg(F.min_by("activity", "lo").alias("start"))
 
 
-def _unfold(df: DataFrame, checks: dict[str, tuple[Column, Column]]) -> DataFrame:
-    verdicts = F.array(
+def _counts(rows: DataFrame, counts: dict[str, tuple[Column, Column]]) -> DataFrame:
+    """One row per template from columns of (activated, satisfied)."""
+    cells = F.array(
         *[
-            F.struct(F.lit(t).alias("template"), active.alias("active"), ok.alias("satisfied"))
-            for t, (active, ok) in checks.items()
+            F.struct(F.lit(t).alias("template"), active.cast("long").alias("activated"), ok.cast("long").alias("satisfied"))
+            for t, (active, ok) in counts.items()
         ]
     )
-    return df.select("case_id", "a", "b", F.inline(F.filter(verdicts, lambda v: v["active"]))).select(
-        "case_id", "template", "a", "b", "satisfied"
-    )
+    return rows.select(F.inline(cells), "a", "b").select("template", "a", "b", "activated", "satisfied")
 
 
 def discover(
@@ -232,14 +154,44 @@ def discover(
     min_confidence: float = 1.0,
     templates: tuple[str, ...] = TEMPLATES,
 ) -> DataFrame:
-    """The reference model: (template, a, b, activated, satisfied, support, confidence)."""
+    """The reference model: (template, a, b, activated, satisfied, support, confidence).
+
+    Cases with one activity of a pair decide every template by that alone, so they are
+    only counted; facts are looked at where a case has both.
+    """
     flat = materialise(flat)
-    cases = flat.select("case_id").distinct().count()
-    counted = (
-        case_verdicts(flat, alphabet(flat), templates)
-        .groupBy("template", "a", "b")
-        .agg(F.count("*").alias("activated"), F.count_if("satisfied").alias("satisfied"))
-    )
+    stats = materialise(_stats(flat))
+    cases = stats.select("case_id").distinct().count()
+    single = stats.groupBy("activity").agg(F.count("*").alias("has"), F.count_if(F.col("n") == 1).alias("once"))
+    starts = _start(stats).groupBy(F.col("start").alias("activity")).agg(F.count("*").alias("first"))
+    letters = materialise(single.join(starts, "activity", "left").fillna(0, ["first"]))
+    total = F.lit(cases)
+    unary = {
+        "existence": (total, F.col("has")),
+        "absence": (total, total - F.col("has")),
+        "exactly_one": (F.col("has"), F.col("once")),
+        "init": (total, F.col("first")),
+    }
+    named = letters.select(F.col("activity").alias("a"), F.lit("").alias("b"), "has", "once", "first")
+    parts = [_counts(named, {t: unary[t] for t in UNARY if t in templates})] if set(templates) & set(UNARY) else []
+    binary = [t for t in BINARY if t in templates]
+    if binary:
+        rules = _satisfied()
+        met = _met(flat, stats, any(t in ALTERNATE for t in binary)).groupBy("a", "b").agg(
+            F.count("*").alias("met"), *[F.count_if(rules[t]).alias(t) for t in binary]
+        )
+        # the model has every pair of activities, so this is the size of the result
+        every = F.collect_list(F.struct(F.col("activity").alias("b"), F.col("has").alias("has_b"))).over(Window.partitionBy(F.lit(1)))
+        pairs = letters.select(F.col("activity").alias("a"), F.col("has").alias("has_a"), every.alias("others"))
+        pairs = pairs.select("a", "has_a", F.inline("others")).where("a <> b").join(met, ["a", "b"], "left").fillna(0)
+        active = {"a": F.col("has_a"), "b": F.col("has_b"), "either": F.col("has_a") + F.col("has_b") - F.col("met")}
+        counts = {}
+        for t in binary:
+            alone = active[ACTIVATED_BY[t]] - F.col("met") if t in NEGATIVE else F.lit(0)
+            counts[t] = (active[ACTIVATED_BY[t]], F.col(t) + alone)
+        rows = _counts(pairs, counts)
+        parts.append(rows.where(~F.col("template").isin(*SYMMETRIC) | (F.col("a") < F.col("b"))))
+    counted = reduce(DataFrame.unionByName, parts)
     return (
         counted.withColumn("support", F.col("activated") / F.lit(max(cases, 1)))
         .withColumn("confidence", F.col("satisfied") / F.col("activated"))
@@ -249,20 +201,49 @@ def discover(
 
 def deviations(flat: DataFrame, model: DataFrame) -> DataFrame:
     """(case_id, template, a, b): model constraints a case activates and breaks."""
-    flat, model = materialise(flat), materialise(model)
-    # at most templates x alphabet^2 rows, and the alphabet is bounded
-    kept = model.select("template", "a", "b").distinct()
-    rows = kept.take(len(TEMPLATES) * MAX_ALPHABET**2 + 1)
-    names = sorted({n for r in rows for n in (r["a"], r["b"]) if n})
-    templates = tuple(t for t in TEMPLATES if any(r["template"] == t for r in rows))
-    if not rows:
-        return flat.select("case_id").limit(0).selectExpr(
-            "case_id", "'' AS template", "'' AS a", "'' AS b"
-        )
-    broken = case_verdicts(flat, names, templates).where("NOT satisfied").drop("satisfied")
-    return broken.join(F.broadcast(kept), ["template", "a", "b"], "left_semi").select(
-        "case_id", "template", "a", "b"
+    kept = materialise(model.select("template", "a", "b").distinct())
+    flat = materialise(flat.select("case_id", "event_id", "activity", "ts"))
+    stats = materialise(_stats(flat))
+    of = lambda *t: kept.where(F.col("template").isin(*t))
+    out = ["case_id", "template", "a", "b"]
+
+    # what a case lacks, or does not start with: the model's activities in one row
+    wanted = of("existence", "init").agg(
+        *[F.collect_set(F.when(F.col("template") == t, F.col("a"))).alias(t) for t in ("existence", "init")]
+    )
+    cases = stats.groupBy("case_id").agg(
+        F.min_by("activity", "lo").alias("start"), F.collect_set("activity").alias("present")
+    )
+    compared = cases.withColumn("_one", F.lit(1)).join(wanted.withColumn("_one", F.lit(1)), "_one")
+    missing = {
+        "existence": F.array_except("existence", "present"),
+        "init": F.filter("init", lambda x: x != F.col("start")),
+    }
+    rows = [
+        compared.select("case_id", F.lit(t).alias("template"), F.explode(c).alias("a"), F.lit("").alias("b"))
+        for t, c in missing.items()
+    ]
+    counted = stats.withColumnRenamed("activity", "a").join(of("absence", "exactly_one"), "a")
+    rows.append(counted.where("template = 'absence' OR n <> 1").select(*out))
+
+    # one activity of the pair is there, the other is not
+    positive = [t for t in BINARY if t not in NEGATIVE]
+    for here, there in (("a", "b"), ("b", "a")):
+        active = [t for t in positive if ACTIVATED_BY[t] in (here, "either")]
+        alone = stats.select("case_id", F.col("activity").alias(here)).join(of(*active), here)
+        has = stats.select("case_id", F.col("activity").alias(there))
+        rows.append(alone.join(has, ["case_id", there], "left_anti").select(*out))
+
+    # both are there
+    pairs = materialise(of(*BINARY).select("a", "b").distinct())
+    broken = F.filter(
+        F.array(*[F.struct(F.lit(t).alias("template"), ok.alias("ok")) for t, ok in _satisfied().items()]),
+        lambda v: ~v["ok"],
     )
+    met = _met(flat, stats, not of(*ALTERNATE).isEmpty(), pairs)
+    both = met.select("case_id", "a", "b", F.explode(broken).alias("_v")).withColumn("template", F.col("_v.template"))
+    rows.append(both.join(kept, ["template", "a", "b"], "left_semi").select(*out))
+    return reduce(DataFrame.unionByName, rows)
 
 
 def deviation_anchors(flat: DataFrame, deviating: DataFrame) -> DataFrame:

@@ -146,9 +146,23 @@ def test_declare_verdicts_match_the_definitions(spark):
     flat = spark.createDataFrame(rows, "case_id string, event_id string, activity string, t int").withColumn(
         "ts", F.timestamp_seconds("t")
     ).drop("t")
-    letters = declare.alphabet(flat)
-    got = {(r.case_id, r.template, r.a, r.b): r.satisfied for r in declare.case_verdicts(flat, letters).collect()}
-    assert got == _declare(traces, letters)
+    want = _declare(traces, "xyz")
+    model = declare.discover(flat, min_support=0, min_confidence=0)
+    counts: dict = {}
+    for (_, *rule), ok in want.items():
+        active, kept = counts.get(tuple(rule), (0, 0))
+        counts[tuple(rule)] = (active + 1, kept + ok)
+    assert {(r.template, r.a, r.b): (r.activated, r.satisfied) for r in model.collect()} == counts
+    broken = sorted(tuple(r) for r in declare.deviations(flat, model).collect())
+    assert broken == sorted((case, *rule) for (case, *rule), ok in want.items() if not ok)
+
+
+def test_declare_takes_any_number_of_activities(spark):
+    rows = [(f"c{k % 2}", f"e{k}", f"act{k:03}") for k in range(300)]
+    flat = spark.createDataFrame(rows, "case_id string, event_id string, activity string").withColumn("ts", F.timestamp_seconds(F.lit(1)))
+    model = declare.discover(flat, templates=("init", "chainresponse"), min_support=0, min_confidence=0)
+    assert model.where("template = 'init'").count() == 300
+    assert model.where("template = 'chainresponse' AND satisfied = 1").count() == 298
 
 
 def test_compatible_allocation_is_the_sequential_greedy(spark):
