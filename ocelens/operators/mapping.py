@@ -12,6 +12,8 @@ from ocelens.model import EventLog
 from ocelens.operators import decode
 from ocelens.operators.findings import finding, union
 from ocelens.operators.graph import nearest_marked_ancestor
+from ocelens.operators.normalise import normalise, normalise_findings
+from ocelens.sources.spans import uniqueness_findings
 
 
 def attribution(spans: DataFrame) -> DataFrame:
@@ -111,6 +113,8 @@ class MappedRun:
                 decode.scope_findings(self.spans),
                 decode.contract_findings(self.events),
                 decode.sequence_findings(self.spans, self.events),
+                uniqueness_findings(self.spans),
+                normalise_findings(normalise(self.spans.where(~decode.is_event() & F.col("parent_span_id").isNotNull()))),
                 declaration_findings(self.refs),
                 finding(repeated, "event_id_repeated", "event_id"),
             ]

@@ -172,7 +172,3 @@ def object_lifecycles(log: EventLog) -> DataFrame:
 def session_credit(violations: DataFrame) -> DataFrame:
     """The distinct non-empty sessions a detector implicates."""
     return violations.where("session_id IS NOT NULL AND session_id <> ''").select("session_id").distinct()
-
-
-def any_true(col: Column) -> Column:
-    return F.coalesce(F.bool_or(col), F.lit(False))

@@ -32,7 +32,7 @@ def shared_folder(spark: SparkSession) -> str:
         configured = spark.conf.get("spark.checkpoint.dir", None)
         if configured:
             context.setCheckpointDir(configured)
-        elif context.master.startswith("local"):
+        elif context.master == "local" or context.master.startswith("local["):  # one machine, one process
             context.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
         else:
             raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")

@@ -148,7 +148,7 @@ def _assemble(
         )
 
     changing = objects.select("id", F.inline("attributes")).where(
-        F.col("time").isNotNull() & (F.try_to_timestamp("time") != F.to_timestamp(F.lit(STATIC_TIME)))
+        F.col("time").isNotNull() & ~F.try_to_timestamp("time").eqNullSafe(F.to_timestamp(F.lit(STATIC_TIME)))
     )
     qualifiers = [*vocabulary.e2o_qualifiers, "declares", *vocabulary.o2o_endpoints]
     findings = union(
@@ -156,29 +156,29 @@ def _assemble(
             value_findings(event_values, "event"),
             value_findings(object_values, "object"),
             finding(
-                events.where(stamp.isNull() | (F.date_trunc("second", stamp) != stamp)),
+                events.where(stamp.isNull() | ~F.date_trunc("second", stamp).eqNullSafe(stamp)),
                 "timestamp_form",
                 "id",
                 F.coalesce("time", F.lit("")),
             ),
             finding(changing, "dynamic_attribute", "id", F.col("name")),
             finding(
-                log.e2o.where(~F.col("qualifier").isin(qualifiers)),
+                log.e2o.where(~F.coalesce(F.col("qualifier").isin(qualifiers), F.lit(False))),
                 "qualifier_unknown",
                 "event_id",
-                F.col("qualifier"),
+                F.coalesce("qualifier", F.lit("")),
             ),
             finding(
-                events.where(~F.col("type").isin(list(vocabulary.event_attributes))),
+                events.where(~F.coalesce(F.col("type").isin(list(vocabulary.event_attributes)), F.lit(False))),
                 "event_type_unknown",
                 "id",
-                F.col("type"),
+                F.coalesce("type", F.lit("")),
             ),
             finding(
-                objects.where(~F.col("type").isin(list(vocabulary.object_attributes))),
+                objects.where(~F.coalesce(F.col("type").isin(list(vocabulary.object_attributes)), F.lit(False))),
                 "object_type_unknown",
                 "id",
-                F.col("type"),
+                F.coalesce("type", F.lit("")),
             ),
         ]
     )

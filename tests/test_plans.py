@@ -8,9 +8,9 @@ import pytest
 from ocelens.operators import evaluation, validate
 from ocelens.operators.constraints import evaluate
 from ocelens.operators.findings import assert_valid
-from ocelens.plans.fleet_log import fleet_log
+from verification.fleet_log import fleet_log
 from ocelens.plans.inject import inject
-from ocelens.plans.order_spans import order_spans
+from verification.order_spans import order_spans
 from verification.registry import ORACLES, QUERIES
 
 TABLES = (

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ocelens.operators.constraints import TEMPLATES, evaluate
 from ocelens.operators.rules import Rule
-from ocelens.plans.order_log import order_log, order_rules
+from verification.order_log import order_log, order_rules
 from ocelens.session import configure
 from verification.order_sql import all_violations, with_orders
 

@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from ocelens.functions.canonical import json_attrs, utc_text
 from ocelens.model import EventLog
 from ocelens.operators import decode, mapping, normalise, validate
-from ocelens.plans.conversation_spans import conversation_lines
-from ocelens.plans.order_log import order_log
+from verification.conversation_spans import conversation_lines
+from verification.order_log import order_log
 from ocelens.session import configure, materialise, shared_folder
 from ocelens.sources import sidecars, spans
 from verification.order_sql import with_orders

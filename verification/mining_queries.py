@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from ocelens.functions.canonical import utc_text
 from ocelens.operators import declare, mining
-from ocelens.plans.activity_log import activity_log
-from ocelens.plans.order_log import order_log
+from verification.activity_log import activity_log
+from verification.order_log import order_log
 from ocelens.session import configure
 from verification.order_sql import with_orders
 

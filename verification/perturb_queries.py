@@ -8,10 +8,10 @@ from pyspark.sql import functions as F
 from ocelens.operators import evaluation, perturb, sampling
 from ocelens.operators.constraints import evaluate
 from ocelens.operators.perturb import FAULTS
-from ocelens.plans.fleet_log import fleet_log
+from verification.fleet_log import fleet_log
 from ocelens.plans.inject import inject
-from ocelens.plans.order_log import order_log
-from ocelens.plans.order_spans import order_spans
+from verification.order_log import order_log
+from verification.order_spans import order_spans
 from ocelens.session import configure, materialise
 
 SEED = 7
