@@ -308,6 +308,10 @@ def classes(docs: DataFrame, sketch: Sketch | None = None) -> DataFrame:
 
 
 def deduplicate(docs: DataFrame, sketch: Sketch | None = None) -> DataFrame:
-    """The documents of ``docs`` that are kept, one of each class, a repeated row once."""
-    kept = classes(docs, sketch).where("kept").select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(materialise(kept), F.col("doc_id").cast("long").eqNullSafe(F.col("_kept"))).drop("_kept").dropDuplicates(["doc_id"])
+    """The documents of ``docs`` that are kept, one of each class, equal rows once.
+
+    Rows without a doc_id cannot be named as kept or not, so all their texts stay.
+    """
+    kept = classes(docs, sketch).where("kept and doc_id is not null").select(F.col("doc_id").alias("_kept")).distinct()
+    named = docs.join(materialise(kept), F.col("doc_id").cast("long") == F.col("_kept")).drop("_kept")
+    return named.dropDuplicates(["doc_id", "text"]).unionByName(docs.where("doc_id is null").dropDuplicates(["text"]))
