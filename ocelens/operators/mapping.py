@@ -13,6 +13,7 @@ from ocelens.operators import decode
 from ocelens.operators.findings import finding, union
 from ocelens.operators.graph import nearest_marked_ancestor
 from ocelens.operators.normalise import normalise, normalise_findings
+from ocelens.session import materialise
 from ocelens.sources.spans import uniqueness_findings
 
 
@@ -106,6 +107,8 @@ class MappedRun:
 
     @cached_property
     def findings(self) -> DataFrame:
+        # written once, so that the many checks of a span do not each repeat its parsing
+        enrichment = materialise(self.spans.where(~decode.is_event() & F.col("parent_span_id").isNotNull()))
         repeated = self.events.groupBy("event_id").count().where("count > 1")
         return union(
             [
@@ -114,7 +117,7 @@ class MappedRun:
                 decode.contract_findings(self.events),
                 decode.sequence_findings(self.spans, self.events),
                 uniqueness_findings(self.spans),
-                normalise_findings(normalise(self.spans.where(~decode.is_event() & F.col("parent_span_id").isNotNull()))),
+                normalise_findings(normalise(enrichment)),
                 declaration_findings(self.refs),
                 finding(repeated, "event_id_repeated", "event_id"),
             ]
