@@ -100,3 +100,6 @@ def test_content_digest_ignores_order_and_partitions_but_not_copies(spark, n):
     base = digest(df)
     assert digest(df.orderBy(F.desc("row_sha256")).repartition(9)) == base
     assert digest(df.union(df.limit(1))) != base
+    # a run's digest is the same beside any other run
+    both = df.selectExpr("'a' AS run", "*").union(spark.range(3000).selectExpr("'b'", "sha2(string(id), 256)"))
+    assert {r.run: r.digest for r in canonical.content_digest(both, "run").collect()}["a"] == base
