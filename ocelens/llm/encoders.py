@@ -27,7 +27,7 @@ _BETWEEN = "\ue000"
 # Unicode white space as the tokenizers see it: Python's \s also has the separators 1C-1F.
 _SPACE, _SOLID = r"[^\S\x1c-\x1f]", r"[\S\x1c-\x1f]"
 # Precomposed letters that end where these marks begin, for every tokenizer of both families.
-_BEFORE_MARK = r"[A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff]+(?=[.,;:!?])"
+_BEFORE_MARK = r"[A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff]++(?=[.,;:!?])"
 _WORD_ENDS = f"{_BEFORE_MARK}|{_SOLID}+"
 
 
