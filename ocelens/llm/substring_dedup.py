@@ -28,6 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ocelens.functions.ordering import with_rank
 from ocelens.llm.arrow import map_arrow, slices, texts
 from ocelens.llm.quality import restored
 from ocelens.llm.words import WORD, window_hashes, word_hashes
@@ -55,7 +56,7 @@ def _anchored(words: list[str], size: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _surveyed(docs: DataFrame, size: int) -> DataFrame:
-    """(doc_id, digest, n_words, words_sha256, anchors) of every row; short texts have no anchors."""
+    """(doc_id, text_sha256, digest, n_words, words_sha256, anchors) of every row; short texts have no anchors."""
 
     def run(batches):
         for part in slices(batches, "text"):
@@ -68,27 +69,27 @@ def _surveyed(docs: DataFrame, size: int) -> DataFrame:
                 counts.append(len(words))
                 anchors.append(np.unique(_anchored(words, size)[1]).view(np.int64) if len(words) >= size else [])
             yield pa.RecordBatch.from_arrays(
-                [part.column("doc_id"), pa.array(digests, pa.binary()), pa.array(counts, pa.int64()), pa.array(sums, pa.string()), pa.array(anchors, pa.list_(pa.int64()))],
-                ["doc_id", "digest", "n_words", "words_sha256", "anchors"],
+                [part.column("doc_id"), part.column("text_sha256"), pa.array(digests, pa.binary()), pa.array(counts, pa.int64()), pa.array(sums, pa.string()), pa.array(anchors, pa.list_(pa.int64()))],
+                ["doc_id", "text_sha256", "digest", "n_words", "words_sha256", "anchors"],
             )
 
-    return map_arrow(docs, run, "doc_id long, digest binary, n_words long, words_sha256 string, anchors array<long>")
+    return map_arrow(docs, run, "doc_id long, text_sha256 string, digest binary, n_words long, words_sha256 string, anchors array<long>")
 
 
 def _recurring_windows(candidates: DataFrame, size: int) -> DataFrame:
-    """(window, doc_id): the windows of a text whose anchors recur, each once."""
+    """(window, key): the windows of a text whose anchors recur, each once."""
 
     def run(batches):
         for part in slices(batches, "text"):
             windows, owners = [], []
-            for doc, text, anchors in zip(part.column("doc_id").to_pylist(), texts(part, "text"), part.column("anchors"), strict=True):
+            for key, text, anchors in zip(part.column("key").to_pylist(), texts(part, "text"), part.column("anchors"), strict=True):
                 window, anchor = _anchored(WORD.findall(text), size)
                 found = np.unique(window[np.isin(anchor.view(np.int64), anchors.values.to_numpy())])
                 windows.append(found.view(np.int64))
-                owners.append(np.full(len(found), doc, np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(windows)), pa.array(np.concatenate(owners))], ["window", "doc_id"])
+                owners.append(np.full(len(found), key, np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(windows)), pa.array(np.concatenate(owners))], ["window", "key"])
 
-    return map_arrow(candidates.select("doc_id", "text", "anchors"), run, "window long, doc_id long")
+    return map_arrow(candidates.select("key", "text", "anchors"), run, "window long, key long")
 
 
 def _runs(marked: np.ndarray) -> Iterator[tuple[int, int]]:
@@ -98,22 +99,22 @@ def _runs(marked: np.ndarray) -> Iterator[tuple[int, int]]:
 
 
 def passages(candidates: DataFrame, first_windows: DataFrame, size: int) -> DataFrame:
-    """(source, start, text, anchors): the recurring passages of the documents they first occur in."""
+    """(source, key, start, text, anchors): the recurring passages of the texts they first occur in."""
 
     def run(batches):
         for part in slices(batches, "text"):
             rows: list[tuple] = []
-            for doc, text, mine in zip(part.column("doc_id").to_pylist(), texts(part, "text"), part.column("windows"), strict=True):
+            for doc, key, text, mine in zip(*(part.column(c).to_pylist() for c in ("doc_id", "key")), texts(part, "text"), part.column("windows"), strict=True):
                 words = WORD.findall(text)
                 window, anchor = _anchored(words, size)
                 for start, stop in _runs(np.isin(window.view(np.int64), mine.values.to_numpy())):
-                    rows.append((doc, start, " ".join(words[start : stop + size - 1]), np.unique(anchor[start:stop]).view(np.int64)))
-            columns = zip(*rows, strict=True) if rows else ([], [], [], [])
-            kinds = (pa.int64(), pa.int64(), pa.string(), pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], ["source", "start", "text", "anchors"])
+                    rows.append((doc, key, start, " ".join(words[start : stop + size - 1]), np.unique(anchor[start:stop]).view(np.int64)))
+            columns = zip(*rows, strict=True) if rows else ([], [], [], [], [])
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], ["source", "key", "start", "text", "anchors"])
 
-    joined = candidates.select("doc_id", "text").join(first_windows, "doc_id")
-    return map_arrow(joined.select("doc_id", "text", "windows"), run, "source long, start long, text string, anchors array<long>")
+    joined = candidates.select("doc_id", "key", "text").join(first_windows, "key")
+    return map_arrow(joined.select("doc_id", "key", "text", "windows"), run, "source long, key long, start long, text string, anchors array<long>")
 
 
 class PhraseAutomaton:
@@ -165,15 +166,15 @@ class PhraseAutomaton:
 
 
 def _located(shards: DataFrame, size: int, with_text: bool) -> DataFrame:
-    """Rows (shard, kind, doc_id, text), sorted by shard with passages (kind 0) before documents."""
-    names = ["doc_id", "n_removed", "kept_sha256", "spans"] + (["kept"] if with_text else [])
+    """Rows (shard, kind, doc_id, key, text), sorted by shard with passages (kind 0) before documents."""
+    names = ["key", "n_removed", "kept_sha256", "spans"] + (["kept"] if with_text else [])
     spans = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
 
     def run(batches):
         shard, automaton, ready = None, None, False
         for part in slices(batches, "text"):
             rows: list[tuple] = []
-            for now, kind, doc, text in zip(*(part.column(c).to_pylist() for c in ("shard", "kind", "doc_id")), texts(part, "text"), strict=True):
+            for now, kind, doc, key, text in zip(*(part.column(c).to_pylist() for c in ("shard", "kind", "doc_id", "key")), texts(part, "text"), strict=True):
                 if now != shard:
                     shard, automaton, ready = now, PhraseAutomaton(size), False
                 words = WORD.findall(text)
@@ -187,65 +188,61 @@ def _located(shards: DataFrame, size: int, with_text: bool) -> DataFrame:
                 if gone.any():
                     kept = " ".join(w for w, g in zip(words, gone.tolist(), strict=True) if not g)
                     digest = hashlib.sha256(kept.encode("utf-8", "surrogatepass")).hexdigest()
-                    rows.append((doc, int(gone.sum()), digest, [{"start": a, "stop": b} for a, b in _runs(gone)], kept))
+                    rows.append((key, int(gone.sum()), digest, [{"start": a, "stop": b} for a, b in _runs(gone)], kept))
             columns = list(zip(*rows, strict=True)) if rows else [[]] * 5
             kinds = (pa.int64(), pa.int64(), pa.string(), spans, pa.string())
             yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns[: len(names)], kinds[: len(names)], strict=True)], names)
 
-    schema = "doc_id long, n_removed long, kept_sha256 string, spans array<struct<start:long,stop:long>>" + (", kept string" if with_text else "")
+    schema = "key long, n_removed long, kept_sha256 string, spans array<struct<start:long,stop:long>>" + (", kept string" if with_text else "")
     return map_arrow(shards, run, schema)
 
 
 def repeats(docs: DataFrame, size: int = 50, with_text: bool = False) -> DataFrame:
-    """(doc_id, n_words, n_removed, kept_sha256, spans[, kept]): one row per document.
+    """(doc_id, n_words, n_removed, kept_sha256, spans[, kept, text_sha256]): one row per document.
 
     Columns read: doc_id (integer), text. ``spans`` are the removed ranges of words,
     ``kept`` the words left, joined by one space, of documents that lose some (else null).
     Null, empty and short texts lose nothing. Repeated rows and rows of one doc_id are one
-    document: they do not remove words from each other, and if their texts differ, only
-    the text with the smallest digest is compared with other documents, unless a whole
-    text is that of a smaller doc_id. A null doc_id is smaller than none: its rows lose
+    document: they do not remove words from each other. If their texts differ, every one of
+    them is compared with other documents. A null doc_id is smaller than none: its rows lose
     nothing and remove nothing.
     """
     spark = docs.sparkSession
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    source = source.withColumn("text_sha256", F.sha2("text", 256))
     rows = materialise(_surveyed(source, size))
-    firsts = materialise(
-        rows.where(F.col("doc_id").isNotNull() & (F.col("n_words") >= size)).groupBy("digest").agg(F.min("doc_id").alias("first")).withColumnRenamed("digest", "_digest")
-    )
-    searched = materialise(firsts.groupBy("first").agg(F.min("_digest").alias("_digest")))
-    mine = (F.col("doc_id") == F.col("first")) & (F.col("digest") == F.col("_digest"))
-    anchors = materialise(rows.join(searched, mine).select("doc_id", F.explode("anchors").alias("anchor")))
-    shared = anchors.groupBy("anchor").agg(F.min("doc_id").alias("_a"), F.max("doc_id").alias("_b")).where("_a < _b")
+    # the texts that are searched: each once, under its first document; keys follow the order of documents
+    least = rows.where(F.col("doc_id").isNotNull() & (F.col("n_words") >= size)).groupBy("digest").agg(F.min(F.struct("doc_id", "text_sha256")).alias("_least"))
+    least = least.select(F.col("digest").alias("_digest"), F.col("_least.doc_id").alias("first"), F.col("_least.text_sha256").alias("_sha"))
+    firsts = materialise(with_rank(materialise(least), ["first", "_digest"], "key"))
+    mine = (F.col("doc_id") == F.col("first")) & (F.col("text_sha256") == F.col("_sha"))
+    anchors = materialise(rows.join(firsts, mine).select("key", F.explode("anchors").alias("anchor")))
+    shared = anchors.groupBy("anchor").agg(F.min("key").alias("_a"), F.max("key").alias("_b")).where("_a < _b")
     shared = materialise(shared.select(F.col("anchor").alias("_anchor")))
-    occurring = materialise(anchors.join(shared, F.col("anchor") == F.col("_anchor")).select("doc_id", "anchor"))
-    wanted = materialise(
-        occurring.groupBy("doc_id").agg(F.collect_set("anchor").alias("anchors")).join(searched, F.col("doc_id") == F.col("first")).select(F.col("doc_id").alias("_doc"), "anchors", "_digest")
-    )
-    # the text of the documents in question; of several texts under one id the searched one
-    joined = source.join(wanted, F.col("doc_id") == F.col("_doc")).select("doc_id", "text", "anchors", "_digest")
-    candidates = materialise(_of_digest(joined))
+    occurring = materialise(anchors.join(shared, F.col("anchor") == F.col("_anchor")).select("key", "anchor"))
+    wanted = materialise(occurring.groupBy("key").agg(F.collect_set("anchor").alias("anchors")).join(firsts, "key").select("key", "first", "_sha", "anchors"))
+    # the texts in question
+    candidates = materialise(source.join(wanted, mine).select("doc_id", "key", "text", "anchors"))
 
-    windows = _recurring_windows(candidates, size).groupBy("window").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("_last"))
+    windows = _recurring_windows(candidates, size).groupBy("window").agg(F.min("key").alias("first"), F.max("key").alias("_last"))
     first_windows = windows.where("first < _last").groupBy("first").agg(F.collect_list("window").alias("windows"))
-    found = materialise(passages(candidates, first_windows.withColumnRenamed("first", "doc_id"), size))
+    found = materialise(passages(candidates, first_windows.withColumnRenamed("first", "key"), size))
 
     size_of = candidates.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), size_of // SHARD_BYTES + 1)
-    shard_of = F.pmod(F.xxhash64("doc_id"), F.lit(shards)).cast("int")
+    shard_of = F.pmod(F.xxhash64("key"), F.lit(shards)).cast("int")
     reach = occurring.select("anchor", shard_of.alias("shard")).distinct()
-    asked = found.select("source", "start", F.explode("anchors").alias("_anchor"))
-    sent = reach.join(asked, F.col("anchor") == F.col("_anchor")).select("shard", F.col("source").alias("_source"), F.col("start").alias("_start")).distinct()
-    texts_sent = sent.join(found, (F.col("source") == F.col("_source")) & (F.col("start") == F.col("_start")))
-    stream = texts_sent.select("shard", F.lit(0).alias("kind"), F.col("source").alias("doc_id"), "text").unionByName(
-        candidates.select(shard_of.alias("shard"), F.lit(1).alias("kind"), "doc_id", "text")
+    asked = found.select("key", "start", F.explode("anchors").alias("_anchor"))
+    sent = reach.join(asked, F.col("anchor") == F.col("_anchor")).select("shard", F.col("key").alias("_key"), F.col("start").alias("_start")).distinct()
+    texts_sent = sent.join(found, (F.col("key") == F.col("_key")) & (F.col("start") == F.col("_start")))
+    stream = texts_sent.select("shard", F.lit(0).alias("kind"), F.col("source").alias("doc_id"), "key", "text").unionByName(
+        candidates.select(shard_of.alias("shard"), F.lit(1).alias("kind"), "doc_id", "key", "text")
     )
-    located = materialise(_located(stream.repartition("shard").sortWithinPartitions("shard", "kind"), size, with_text).dropDuplicates(["doc_id"]))
+    located = materialise(_located(stream.repartition("shard").sortWithinPartitions("shard", "kind"), size, with_text).dropDuplicates(["key"]))
 
-    copies = rows.drop("anchors").join(firsts, F.col("digest") == F.col("_digest"), "left").drop("_digest")
-    copies = copies.join(searched.select(F.col("first").alias("_id"), "_digest"), (F.col("doc_id") == F.col("_id")) & (F.col("digest") == F.col("_digest")), "left")
+    copies = rows.drop("anchors").join(firsts, F.col("digest") == F.col("_digest"), "left").drop("_digest", "_sha")
     hit = located.withColumnsRenamed({c: f"_{c}" for c in located.columns})
-    out = copies.join(hit, (F.col("doc_id") == F.col("_doc_id")) & F.col("_id").isNotNull(), "left")
+    out = copies.join(hit, (F.col("key") == F.col("_key")) & (F.col("doc_id") == F.col("first")), "left")
     copy = F.coalesce(F.col("first") < F.col("doc_id"), F.lit(False))
     whole = F.array(F.struct(F.lit(0).cast("long").alias("start"), F.col("n_words").alias("stop")))
     columns = [
@@ -257,30 +254,19 @@ def repeats(docs: DataFrame, size: int = 50, with_text: bool = False) -> DataFra
     ]
     if with_text:
         columns.append(F.when(copy, F.lit("")).otherwise(F.col("_kept")).alias("kept"))
-        columns.append("digest")
+        columns.append("text_sha256")
     return out.select(*columns)
 
 
-def _of_digest(joined: DataFrame) -> DataFrame:
-    def run(batches):
-        for part in slices(batches, "text"):
-            keep = [
-                hashlib.blake2b(" ".join(WORD.findall(t)).encode("utf-8", "surrogatepass"), digest_size=16).digest() == d
-                for t, d in zip(texts(part, "text"), part.column("_digest").to_pylist(), strict=True)
-            ]
-            yield part.filter(pa.array(keep, pa.bool_())).drop_columns(["_digest"])
-
-    return map_arrow(joined, run, "doc_id long, text string, anchors array<long>")
-
-
 def deduplicate(docs: DataFrame, size: int = 50) -> DataFrame:
     """The documents without repeated passages, in their own columns.
 
     A text that loses words becomes its other words joined by one space, every other text
     stays as it is. A document of which no word is left is left out. ``n_chars`` follows.
-    Equal rows give equal rows.
+    Equal rows give equal rows; different texts of one doc_id are cut each for itself.
     """
     changed = repeats(docs, size, with_text=True).where("n_removed > 0")
-    changed = materialise(changed.select(F.col("doc_id").alias("_doc"), F.col("n_words").alias("_n"), "kept").dropDuplicates(["_doc"]))
-    rows = docs.join(changed, F.col("doc_id").cast("long") == F.col("_doc"), "left").where("_doc is null or kept <> ''")
-    return restored(docs, rows.withColumn("text", F.coalesce("kept", "text")).select(*docs.columns))
+    changed = materialise(changed.select(F.col("doc_id").alias("_doc"), F.col("text_sha256").alias("_sha"), F.col("kept").alias("_kept")).dropDuplicates(["_doc", "_sha"]))
+    sha = F.sha2(F.coalesce(F.col("text").cast("string"), F.lit("")), 256)
+    rows = docs.join(changed, (F.col("doc_id").cast("long") == F.col("_doc")) & (sha == F.col("_sha")), "left").where("_doc is null or _kept <> ''")
+    return restored(docs, rows.withColumn("text", F.coalesce("_kept", "text")).select(*docs.columns))

@@ -4,7 +4,7 @@ import random
 
 import numpy as np
 import pytest
-from brute import near_classes, reachable, shingle_counts, similarity, without_repeats
+from brute import covered, near_classes, reachable, shingle_counts, similarity, without_repeats
 
 from ocelens.llm import dart_minhash, embedding_dedup, queries, substring_dedup
 from ocelens.llm.components import components
@@ -111,6 +111,26 @@ def test_repeated_passages(spark, seed):
         assert sum(s.stop - s.start for s in r.spans) == r.n_removed
 
 
+def test_every_text_of_a_repeated_id_is_searched(spark):
+    rng = random.Random(5)
+    said = [[f"{k}-{rng.randrange(1000)}" for _ in range(30)] for k in range(9)]
+    text = lambda *parts: " ".join(" ".join(said[p]) for p in parts)
+    # 7 holds a copy, a part and nothing of smaller documents; 9 and 12 repeat one of its texts each; rows of 7 share a passage
+    rows = [(3, text(0)), (4, text(1, 2)), (7, text(0)), (7, text(2, 3)), (7, text(4, 5)), (7, text(5, 6)), (7, text(5, 6)), (9, text(4)), (12, text(7, 6)), (12, text(3, 8)), (12, None)]
+    rows += [(7, text(6).replace(" ", "  "))]
+    for seed in range(3):
+        random.Random(seed).shuffle(rows)
+        found = substring_dedup.repeats(frame(spark, rows), 10, with_text=True)
+        got = sorted((tuple(r) for r in found.select("doc_id", "n_words", "n_removed", "kept_sha256").collect()), key=repr)
+        assert got == without_repeats(rows, 10)
+    left = sorted(((r.doc_id, r.text) for r in substring_dedup.deduplicate(frame(spark, rows), 10).collect()), key=repr)
+    want = []
+    for (d, t), gone in zip(rows, covered(rows, 10), strict=True):
+        kept = " ".join(w for w, g in zip((t or "").split(), gone, strict=True) if not g)
+        want += [(d, kept if any(gone) else t)] if kept or not any(gone) else []
+    assert left == sorted(want, key=repr)
+
+
 def test_queries_on_given_tables(spark):
     docs = [tuple(r) for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()]
     got = sorted(map(tuple, queries.QUERIES["op9_repeated_passages"](spark, SF).collect()), key=repr)
