@@ -5,11 +5,12 @@ import os
 import duckdb
 import pytest
 
-from ocelens.operators import evaluation, validate
+from ocelens.operators import evaluation, evidence, validate
 from ocelens.operators.constraints import evaluate
 from ocelens.operators.findings import assert_valid
 from verification.fleet_log import fleet_log
 from ocelens.plans.inject import inject
+from verification.order_log import order_log, order_rules
 from verification.order_spans import order_spans
 from verification.registry import ORACLES, QUERIES
 
@@ -55,3 +56,12 @@ def test_query_matches_sql(spark, name):
 
 def test_every_query_has_an_oracle():
     assert set(ORACLES) == set(QUERIES)
+
+
+def test_chain_verification_holds_every_rule(spark, monkeypatch):
+    verify, seen = evidence.verify_chain, []
+    monkeypatch.setattr(evidence, "verify_chain", lambda bundle: seen.append(bundle) or verify(bundle))
+    assert QUERIES["chain_verification"](spark, SF).first()["verified"]
+    got = {r[0] for r in seen[0].select("constraint.id").distinct().collect()}
+    want = {r[0] for r in evaluate(order_log(spark, SF), order_rules()).select("constraint_id").distinct().collect()}
+    assert got == want and len(want) == len(order_rules())
