@@ -8,6 +8,7 @@ import pytest
 from ocelens.operators import evaluation, evidence, validate
 from ocelens.operators.constraints import evaluate
 from ocelens.operators.findings import assert_valid
+from verification import evidence_queries
 from verification.fleet_log import fleet_log
 from ocelens.plans.inject import inject
 from verification.order_log import order_log, order_rules
@@ -65,3 +66,10 @@ def test_chain_verification_holds_every_rule(spark, monkeypatch):
     got = {r[0] for r in seen[0].select("constraint.id").distinct().collect()}
     want = {r[0] for r in evaluate(order_log(spark, SF), order_rules()).select("constraint_id").distinct().collect()}
     assert got == want and len(want) == len(order_rules())
+
+
+def test_reproduction_check_computes_the_pins_again(spark, monkeypatch):
+    values = [{"input_log_sha256": "1" * 64}, {"input_log_sha256": "2" * 64}]
+    monkeypatch.setattr(evidence_queries, "input_pins", lambda *_: values.pop(0))
+    got = {r.pin: r.holds for r in QUERIES["reproduction_check"](spark, SF).collect()}
+    assert got == {"input_log_sha256": False, "crosswalk_sha256": False}
