@@ -175,7 +175,7 @@ def _crc(text: str) -> str:
     """Of a text, beside crc_table."""
     digits = f"hex(encode({text}))"
     values = f"list_transform(range(length({digits}) // 2), lambda k: ('0x' || substr({digits}, 2 * k + 1, 2))::UBIGINT)"
-    step = "lambda c, b: xor(c >> 8, crcs[(xor(c, b) & 255) + 1])"
+    step = "lambda c, b: xor(c >> 8, crcs[(xor(c, b) & 255)::BIGINT + 1])"
     return f"xor(list_reduce(list_prepend(4294967295::UBIGINT, {values}), {step}), 4294967295)"
 
 
