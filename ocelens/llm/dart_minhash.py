@@ -22,9 +22,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ocelens.functions.ordering import with_rank
 from ocelens.llm.arrow import map_arrow, ship, slices, texts
 from ocelens.llm.components import components
 from ocelens.llm.words import GOLDEN, WORD, mix, window_hashes, word_hashes
@@ -119,9 +120,10 @@ def _band_keys(signatures: np.ndarray, sketch: Sketch) -> np.ndarray:
 
 
 def sign(docs: DataFrame, sketch: Sketch) -> DataFrame:
-    """(doc_id, words_digest, n_shingles, bands, marks); no words: null bands and marks.
+    """(doc_id, text_hash, rest_hash, words_digest, n_shingles, bands, marks); no words: null bands and marks.
 
-    ``words_digest`` names the sequence of words, ``marks`` has one byte per coordinate.
+    ``words_digest`` names the sequence of words, ``marks`` has one byte per coordinate. The
+    two hashes tell rows of one doc_id apart, by their text and by their other columns.
     """
 
     def run(batches):
@@ -146,12 +148,19 @@ def sign(docs: DataFrame, sketch: Sketch) -> DataFrame:
                     bands[i], marks[i] = keys[row], bytes_[row].tobytes()
             sizes = [int(counts.sum()) for _, counts in sets]
             yield pa.RecordBatch.from_arrays(
-                [part.column("doc_id"), pa.array(digests, pa.binary()), pa.array(sizes, pa.int64()), pa.array(bands, pa.list_(pa.int64())), pa.array(marks, pa.binary())],
-                ["doc_id", "words_digest", "n_shingles", "bands", "marks"],
+                [*(part.column(c) for c in ("doc_id", "text_hash", "rest_hash")), pa.array(digests, pa.binary()), pa.array(sizes, pa.int64()), pa.array(bands, pa.list_(pa.int64())), pa.array(marks, pa.binary())],
+                ["doc_id", "text_hash", "rest_hash", "words_digest", "n_shingles", "bands", "marks"],
             )
 
-    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return map_arrow(source, run, "doc_id long, words_digest binary, n_shingles long, bands array<long>, marks binary")
+    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *_row_names(docs), F.col("text").cast("string").alias("text"))
+    return map_arrow(source, run, "doc_id long, text_hash long, rest_hash long, words_digest binary, n_shingles long, bands array<long>, marks binary")
+
+
+def _row_names(docs: DataFrame) -> list[Column]:
+    """text_hash and rest_hash, which with the doc_id tell all different rows apart."""
+    rest = [F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")]
+    other = F.xxhash64(F.to_json(F.struct(*rest))) if rest else F.lit(0).cast("long")
+    return [F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("text_hash"), other.alias("rest_hash")]
 
 
 def _similar(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray], least: float) -> bool:
@@ -253,28 +262,19 @@ def _links_in_blocks(members: DataFrame, sketch: Sketch, rows: int = 128, shingl
     return dealt.groupBy("family", "_i", "_j").applyInArrow(compare, "a long, b long")
 
 
-def classes(docs: DataFrame, sketch: Sketch | None = None) -> DataFrame:
-    """(doc_id, component_id, kept): one row per document, near-duplicates in one class.
-
-    Columns read: doc_id (integer), text. Documents link if the weighted Jaccard
-    similarity of their shingles is at least ``sketch.similarity``; a class is what links
-    reach, its id the smallest doc_id in it, the document that is kept. Words are runs
-    without ASCII white space, taken as they are; a text of fewer words than a shingle is
-    one shingle. A text without a word (null, empty, blank) is in a class of its own. A
-    repeated row gives a repeated result. A null doc_id is the copy of any document with
-    the same words, without one it has the class null and is kept.
-    """
-    sketch = sketch or Sketch()
-    signed = materialise(sign(docs, sketch))
-    # copies first: a group of equal texts goes on as its smallest document
-    firsts = materialise(
-        signed.where("marks is not null").groupBy("words_digest").agg(F.min("doc_id").alias("first"))
-    )
-    chosen = signed.join(
-        firsts.select(F.col("words_digest").alias("_digest"), "first"),
-        (F.col("words_digest") == F.col("_digest")) & (F.col("doc_id") == F.col("first")),
+def _classed(docs: DataFrame, sketch: Sketch) -> DataFrame:
+    """(doc_id, text_hash, rest_hash, component_id, kept) of every row."""
+    signed = materialise(sign(docs, sketch).withColumn("row", F.monotonically_increasing_id()))
+    # copies first: a group of equal texts goes on as the row of its smallest document; the
+    # numbers of the groups follow the order of these, as one doc_id may have several texts
+    least = signed.where("marks is not null and doc_id is not null").groupBy("words_digest").agg(
+        F.min(F.struct("doc_id", "text_hash", "rest_hash", "row")).alias("_least")
     )
-    chosen = materialise(chosen.select("doc_id", "n_shingles", "marks", "bands"))
+    least = least.select(F.col("words_digest").alias("_digest"), F.col("_least.doc_id").alias("first"), F.col("_least.text_hash").alias("_text"), F.col("_least.rest_hash").alias("_rest"), F.col("_least.row").alias("_number"))
+    firsts = materialise(with_rank(materialise(least), ["first", "_digest"], "key"))
+    chosen = signed.join(firsts, (F.col("words_digest") == F.col("_digest")) & (F.col("row") == F.col("_number")))
+    chosen = materialise(chosen.select(F.col("key").alias("doc_id"), "n_shingles", "marks", "bands"))
+    # from here on a document is the number of its group
     narrow = chosen.select("doc_id", "n_shingles", "marks")
     listed = chosen.select("doc_id", F.explode("bands").alias("bucket"))
     lows = listed.groupBy("bucket").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("_high"))
@@ -282,9 +282,10 @@ def classes(docs: DataFrame, sketch: Sketch | None = None) -> DataFrame:
     shared = materialise(listed.join(lows, F.col("bucket") == F.col("_bucket")).select("bucket", "doc_id", "low"))
 
     # the texts that may be compared, moved once
-    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    asked = shared.select("doc_id").distinct().withColumnRenamed("doc_id", "_id")
-    bodies = materialise(source.join(asked, F.col("doc_id") == F.col("_id")).select("doc_id", "text").dropDuplicates(["doc_id"]))
+    source = docs.select(F.col("doc_id").cast("long").alias("_id"), _row_names(docs)[0], F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    asked = shared.select("doc_id").distinct().join(firsts.select(F.col("key").alias("doc_id"), "first", "_text"), "doc_id")
+    bodies = source.join(asked, (F.col("_id") == F.col("first")) & (F.col("text_hash") == F.col("_text")))
+    bodies = materialise(bodies.select("doc_id", "text").dropDuplicates(["doc_id"]))
 
     # every member of a band with its smallest member
     stars = shared.where("doc_id <> low").select(F.col("low").alias("a"), F.col("doc_id").alias("b")).distinct()
@@ -300,18 +301,42 @@ def classes(docs: DataFrame, sketch: Sketch | None = None) -> DataFrame:
     more = materialise(_links_in_blocks(materialise(members), sketch))
     found = materialise(components(edges.unionByName(more)).select(F.col("id").alias("_id"), F.col("component").alias("_component")))
 
-    named = signed.select("doc_id", F.when(F.col("marks").isNotNull(), F.col("words_digest")).alias("words_digest"))
-    named = named.join(firsts.withColumnRenamed("words_digest", "_digest"), F.col("words_digest") == F.col("_digest"), "left")
-    named = named.select("doc_id", F.coalesce("first", "doc_id").alias("first"))
-    joined = named.join(found, F.col("first") == F.col("_id"), "left").select("doc_id", F.coalesce("_component", "first").alias("component_id"))
-    return joined.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    grouped = firsts.join(found, F.col("key") == F.col("_id"), "left").select("_digest", "first", "_text", "_rest", "key", F.coalesce("_component", "key").alias("_root"))
+    roots = firsts.select(F.col("key").alias("_root"), F.col("first").alias("_class"))
+    grouped = materialise(grouped.join(roots, "_root"))
+    named = signed.select("doc_id", "text_hash", "rest_hash", F.when(F.col("marks").isNotNull(), F.col("words_digest")).alias("words_digest"))
+    named = named.join(grouped, F.col("words_digest") == F.col("_digest"), "left")
+    alone = F.col("_digest").isNull()
+    stays = (F.col("key") == F.col("_root")) & F.col("doc_id").eqNullSafe(F.col("first")) & (F.col("text_hash") == F.col("_text")) & (F.col("rest_hash") == F.col("_rest"))
+    return named.select("doc_id", "text_hash", "rest_hash", F.when(alone, F.col("doc_id")).otherwise(F.col("_class")).alias("component_id"), F.when(alone, F.lit(True)).otherwise(stays).alias("kept"))
+
+
+def classes(docs: DataFrame, sketch: Sketch | None = None) -> DataFrame:
+    """(doc_id, component_id, kept): one row per document, near-duplicates in one class.
+
+    Columns read: doc_id (integer), text; the others only to tell rows of one doc_id apart.
+    Documents link if the weighted Jaccard similarity of their shingles is at least
+    ``sketch.similarity``; a class is what links reach, its id the smallest doc_id in it,
+    and one document of the class is kept, of that id. Words are runs without ASCII white
+    space, taken as they are; a text of fewer words than a shingle is one shingle, a text
+    of any length is taken whole. A text without a word (null, empty, blank) is in a class
+    of its own. Rows of one doc_id with different texts are documents of their own; an
+    equal row gives an equal result. A null doc_id is the copy of any document with the
+    same words, without one it has the class null and is kept. An empty table gives none.
+    """
+    return _classed(docs, sketch or Sketch()).select("doc_id", "component_id", "kept")
 
 
 def deduplicate(docs: DataFrame, sketch: Sketch | None = None) -> DataFrame:
-    """The documents of ``docs`` that are kept, one of each class, equal rows once.
+    """The rows of ``docs`` that are kept, one of each class, equal rows once.
 
-    Rows without a doc_id cannot be named as kept or not, so all their texts stay.
+    Rows without a doc_id cannot be named as kept or not, so all their texts stay. Of rows
+    with equal doc_id and text whose other columns differ, one stays, always the same.
     """
-    kept = classes(docs, sketch).where("kept and doc_id is not null").select(F.col("doc_id").alias("_kept")).distinct()
-    named = docs.join(materialise(kept), F.col("doc_id").cast("long") == F.col("_kept")).drop("_kept")
-    return named.dropDuplicates(["doc_id", "text"]).unionByName(docs.where("doc_id is null").dropDuplicates(["text"]))
+    kept = _classed(docs, sketch or Sketch()).where("kept and doc_id is not null")
+    # a text without words has no group: of its rows the one of smallest hash stays
+    kept = kept.groupBy("doc_id", "text_hash").agg(F.min("rest_hash").alias("_rest")).select(F.col("doc_id").alias("_kept"), F.col("text_hash").alias("_text"), "_rest")
+    names = [c.alias(f"_row_{n}") for c, n in zip(_row_names(docs), ("text", "rest"), strict=True)]
+    same = (F.col("doc_id").cast("long") == F.col("_kept")) & (F.col("_row_text") == F.col("_text")) & (F.col("_row_rest") == F.col("_rest"))
+    named = docs.select("*", *names).join(materialise(kept), same).dropDuplicates(["_kept", "_text"]).select(*docs.columns)
+    return named.unionByName(docs.where("doc_id is null").dropDuplicates(["text"]))

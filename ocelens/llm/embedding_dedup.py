@@ -190,20 +190,26 @@ def links(vectors: DataFrame, how: Projections | None = None) -> DataFrame:
     Columns read: vec_id (integer), embedding (array of float or double). A link needs a
     cosine of at least ``how.cosine`` in double precision and vectors of one length. A
     vector that is null, empty or zero, or holds a null or a non-finite number, has none,
-    and is its own component. Rows are vectors: equal vectors link, also under one vec_id.
+    and is its own component. Rows are vectors: equal vectors link, also under one vec_id,
+    and several vectors of one vec_id are linked each for itself. An empty table gives none.
     A component is named by its smallest vec_id. A null vec_id is as linked as its equals
     with an id; without such it has no links and the component null.
     """
     how = how or Projections()
     kind = vectors.schema["embedding"].dataType.elementType
     element = "<f4" if isinstance(kind, T.FloatType) else "<f8"
-    typed = F.col("embedding").cast("array<float>" if element == "<f4" else "array<double>")
-    # twice 64 bits name a vector; an id for copies, never a proof of similarity
-    names = [F.xxhash64(typed).alias("h1"), F.xxhash64(F.lit(1), typed).alias("h2")]
-    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), typed.alias("vector"), *names)
-    groups = materialise(rows.groupBy("h1", "h2").agg(F.min("vec_id").alias("id"), F.count("*").alias("weight")).select(F.col("h1").alias("_h1"), F.col("h2").alias("_h2"), "id", "weight"))
+    cast = F.col("embedding").cast("array<float>" if element == "<f4" else "array<double>")
+    # hashes pass over nulls, so arrays that hold one are set apart first
+    typed = F.when(~F.exists(cast, lambda x: x.isNull()), cast)
+    # twice 64 bits name a vector; a name for copies, never a proof of similarity
+    names = [F.xxhash64("vector").alias("h1"), F.xxhash64(F.lit(1), "vector").alias("h2")]
+    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), typed.alias("vector")).select("*", *names)
+    groups = rows.groupBy("h1", "h2").agg(F.min("vec_id").alias("first"), F.count("*").alias("weight")).where("first is not null")
+    # a vec_id may have several vectors, so groups have numbers of their own, in the order of their smallest vec_id
+    groups = with_rank(materialise(groups), ["first", "h1", "h2"], "id")
+    groups = materialise(groups.select(F.col("h1").alias("_h1"), F.col("h2").alias("_h2"), "id", "first", "weight"))
     same_vector = (F.col("h1") == F.col("_h1")) & (F.col("h2") == F.col("_h2"))
-    distinct = rows.join(groups, same_vector & (F.col("vec_id") == F.col("id"))).select("id", "weight", "vector").dropDuplicates(["id"])
+    distinct = rows.join(groups, same_vector & (F.col("vec_id") == F.col("first"))).select("id", "weight", "vector").dropDuplicates(["id"])
     points = materialise(with_rank(materialise(_projected(distinct, how)), ["at", "id"], "_rank"))
     blocked = points.withColumn("block", F.expr(f"_rank div {how.block}L"))
     # one row per block: which blocks does a window reach
@@ -225,9 +231,10 @@ def links(vectors: DataFrame, how: Projections | None = None) -> DataFrame:
     answers = materialise(usable.select(
         "id",
         (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("_links"),
-        F.coalesce("component", "id").alias("_component"),
+        F.coalesce("component", "id").alias("_root"),
     ))
-    named = groups.join(answers, "id").select("_h1", "_h2", "_links", "_component")
+    names_of = groups.select(F.col("id").alias("_root"), F.col("first").alias("_component"))
+    named = groups.join(answers, "id").join(names_of, "_root").select("_h1", "_h2", "_links", "_component")
     return rows.join(materialise(named), same_vector, "left").select(
         "vec_id", F.coalesce("_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("_component", "vec_id").alias("component_id")
     ).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))

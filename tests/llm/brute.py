@@ -42,10 +42,19 @@ def reachable(ids: list, links: list[tuple]) -> dict:
     return least
 
 
-def near_classes(rows: list[tuple[int, str | None]], least: float = 0.8) -> dict:
-    sets = [(d, shingle_counts(t)) for d, t in rows]
-    links = [(d, e) for i, (d, a) in enumerate(sets) for e, b in sets[i + 1 :] if similarity(a, b) >= least]
-    return reachable([d for d, _ in rows], links)
+def classes_of_rows(ids: list, pairs: list[tuple[int, int]]) -> list:
+    """For every row the smallest id among the rows that linked pairs of rows reach."""
+    root = reachable(list(range(len(ids))), pairs)
+    least: dict = {}
+    for k, r in root.items():
+        least[r] = min(least.get(r, ids[k]), ids[k])
+    return [least[root[k]] for k in range(len(ids))]
+
+
+def near_classes(rows: list[tuple[int, str | None]], least: float = 0.8) -> list:
+    sets = [shingle_counts(t) for _, t in rows]
+    pairs = [(i, j) for i, a in enumerate(sets) for j in range(i + 1, len(sets)) if similarity(a, sets[j]) >= least]
+    return classes_of_rows([d for d, _ in rows], pairs)
 
 
 def covered(rows: list[tuple[int | None, str | None]], size: int) -> list[list[bool]]:

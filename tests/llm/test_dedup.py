@@ -4,7 +4,8 @@ import random
 
 import numpy as np
 import pytest
-from brute import covered, near_classes, reachable, shingle_counts, similarity, without_repeats
+from pyspark.sql import functions as F
+from brute import classes_of_rows, covered, near_classes, reachable, shingle_counts, similarity, without_repeats
 
 from ocelens.llm import dart_minhash, embedding_dedup, queries, substring_dedup
 from ocelens.llm.components import components
@@ -43,10 +44,29 @@ def near_rows():
 def test_near_duplicate_classes(spark, near_rows):
     got = sorted(map(tuple, dart_minhash.classes(frame(spark, near_rows)).collect()))
     want = near_classes(near_rows)
-    assert got == sorted((d, want[d], d == want[d]) for d, _ in near_rows)
+    assert got == sorted((d, c, d == c) for (d, _), c in zip(near_rows, want, strict=True))
     stay = dart_minhash.deduplicate(frame(spark, near_rows))
     assert stay.columns == frame(spark, near_rows).columns
-    assert sorted(r.doc_id for r in stay.collect()) == sorted({d for d in want.values()})
+    assert sorted(r.doc_id for r in stay.collect()) == sorted(set(want))
+
+
+def test_every_text_of_a_repeated_id_is_classed(spark):
+    rng = random.Random(8)
+    w, x, y, z = ([f"{c}{rng.randrange(10**6)}" for _ in range(60)] for c in "wxyz")
+    near = lambda words: " ".join(near_copy(words, rng, 1))
+    rows = [(3, " ".join(w)), (7, near(w)), (7, " ".join(x)), (7, " ".join(y)), (9, near(x)), (9, " ".join(z)), (9, near(z)), (7, None), (7, ""), (11, "x " * 100_000)]
+    for seed in range(2):
+        random.Random(seed).shuffle(rows)
+        want = near_classes(rows)
+        found = dart_minhash.classes(frame(spark, rows)).collect()
+        assert sorted((r.doc_id, r.component_id) for r in found) == sorted((d, c) for (d, _), c in zip(rows, want, strict=True))
+        left = {(r.doc_id, r.text) for r in dart_minhash.deduplicate(frame(spark, rows)).collect()}
+        assert {(3, " ".join(w)), (7, " ".join(x)), (7, " ".join(y)), (7, None), (11, "x " * 100_000)} <= left
+        assert sum(d == 9 for d, _ in left) == 1 and len([1 for d, _ in left if d == 7]) == 3 + (("") in {t for d, t in left if d == 7})
+    # other columns differ: one row stays, whatever the order
+    copies = spark.createDataFrame([(1, "a b c", k) for k in (5, 3, 4)], "doc_id long, text string, other int")
+    picked = {dart_minhash.deduplicate(copies.orderBy(F.lit(s) * F.col("other"))).first().other for s in (1, -1)}
+    assert len(picked) == 1
 
 
 def test_null_ids_and_empty_tables(spark):
@@ -145,12 +165,12 @@ def linked(rows, least=0.95):
             wide = np.array(v, float) / np.abs(np.array(v, float)).max()
             usable[k] = wide / np.linalg.norm(wide)
     pairs = [(i, j) for i in usable for j in usable if i < j and len(usable[i]) == len(usable[j]) and usable[i] @ usable[j] >= least]
-    least_id = reachable([d for d, _ in rows], [(rows[i][0], rows[j][0]) for i, j in pairs])
+    least_id = classes_of_rows([d for d, _ in rows], pairs)
     count = dict.fromkeys(range(len(rows)), 0)
     for i, j in pairs:
         count[i] += 1
         count[j] += 1
-    return sorted((d, count[k], least_id[d], d == least_id[d]) for k, (d, _) in enumerate(rows))
+    return sorted((d, count[k], least_id[k], d == least_id[k]) for k, (d, _) in enumerate(rows))
 
 
 @pytest.mark.parametrize("kind", ["float", "double"])
@@ -166,6 +186,12 @@ def test_vector_links(spark, kind):
     assert embedding_dedup.links(df.limit(0)).count() == 0
 
 
+def test_every_vector_of_a_repeated_id_is_linked(spark):
+    rows = [(1, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [0.0, 1.0]), (2, [1.0, 0.01]), (3, [0.0, 1.0]), (4, [0.01, 1.0]), (5, [1.0, None]), (6, [1.0]), (7, [None, 1.0]), (8, [1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    assert sorted(map(tuple, embedding_dedup.links(df).collect())) == linked(rows)
+
+
 def test_calibration():
     how = embedding_dedup.Projections()
     assert 0 < how.least_count < how.lines and how.sorted_window > how.counted_window > how.distance
