@@ -11,8 +11,9 @@ document with a smaller id. The steps:
 3. Documents are dealt to shards. Each shard gets the passages whose anchors occur in its
    documents and compiles an Aho-Corasick automaton of phrases, half a window long, taken
    from the passages so closely that every window of a passage holds a whole phrase.
-4. The shard's documents stream through the automaton. Every occurrence of a phrase is
-   extended word by word, so what is removed was compared as words, not as hashes.
+4. The shard's documents stream through the automaton. The windows round an occurrence of a
+   phrase are looked up in a table of the passages' windows and compared as words, so what
+   is removed was not compared as hashes alone.
 
 A frequent passage reaches every shard once, a frequent anchor is only aggregated.
 """
@@ -31,7 +32,7 @@ from pyspark.sql import functions as F
 from ocelens.functions.ordering import with_rank
 from ocelens.llm.arrow import map_arrow, slices, texts
 from ocelens.llm.quality import restored
-from ocelens.llm.words import WORD, window_hashes, word_hashes
+from ocelens.llm.words import WORD, mix, window_hashes, word_hashes
 from ocelens.session import materialise
 
 GRAM = 10
@@ -118,51 +119,87 @@ def passages(candidates: DataFrame, first_windows: DataFrame, size: int) -> Data
 
 
 class PhraseAutomaton:
-    """Finds in a text the windows of ``size`` words that passages of smaller ids hold."""
+    """Finds in a text the windows of ``size`` words that passages of smaller ids hold.
+
+    The automaton tells where phrases occur. A table of all windows of the passages, sorted
+    by hash and source, answers for the windows round an occurrence, so a phrase of many
+    passages costs no more than another; what it answers is compared as words.
+    """
 
     def __init__(self, size: int):
         self._size = size
         self._phrase = max(1, size // 2)
         self._numbers: dict[str, int] = {}
-        self._passages: list[tuple[int, np.ndarray]] = []
-        self._places: dict[tuple[int, ...], list[tuple[int, int]]] = {}
+        self._passages: list[np.ndarray] = []
+        self._sources: list[int] = []
+        self._phrases: set[tuple[int, ...]] = set()
         self._automaton = None
 
     def add(self, source: int, words: list[str]) -> None:
+        if len(words) < self._size:
+            return
         number = [self._numbers.setdefault(w, len(self._numbers) + 1) for w in words]
-        self._passages.append((source, np.asarray(number, dtype=np.int64)))
+        self._passages.append(np.asarray(number, dtype=np.int64))
+        self._sources.append(source)
         # phrases so close that each window holds one as a whole
         for at in range(0, len(words) - self._phrase + 1, self._size - self._phrase + 1):
-            self._places.setdefault(tuple(number[at : at + self._phrase]), []).append((len(self._passages) - 1, at))
+            self._phrases.add(tuple(number[at : at + self._phrase]))
 
     def compile(self) -> None:
-        if self._places:
-            self._automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
-            for phrase, places in self._places.items():
-                self._automaton.add_word(phrase, places)
-            self._automaton.make_automaton()
-            self._places = {}
+        if not self._passages:
+            return
+        self._automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE)
+        for phrase in self._phrases:
+            self._automaton.add_word(phrase, 1)
+        self._automaton.make_automaton()
+        lengths = [len(p) - self._size + 1 for p in self._passages]
+        hashes = np.concatenate([self._hashes(p) for p in self._passages])
+        sources = np.repeat(np.asarray(self._sources, np.int64), lengths)
+        begins = np.cumsum([0] + [len(p) for p in self._passages[:-1]])
+        places = np.concatenate([np.arange(b, b + n) for b, n in zip(begins, lengths, strict=True)])
+        order = np.lexsort((sources, hashes))
+        self._hash, self._source, self._place = hashes[order], sources[order], places[order]
+        self._words = np.concatenate(self._passages)
+        self._passages, self._phrases = [], set()
+
+    def _hashes(self, numbers: np.ndarray) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            return window_hashes(mix(numbers.astype(np.uint64)), self._size)
 
     def covered(self, doc: int, words: list[str]) -> np.ndarray:
         """For every word, whether such a window of a passage from before ``doc`` covers it."""
+        size = self._size
         out = np.zeros(len(words), dtype=bool)
-        if self._automaton is None or len(words) < self._size:
+        if self._automaton is None or len(words) < size:
             return out
         numbers = [self._numbers.get(w, 0) for w in words]
+        ends = np.fromiter((end for end, _ in self._automaton.iter(tuple(numbers))), np.int64)
+        if not len(ends):
+            return out
+        # the windows that hold an occurrence as a whole
+        starts = len(words) - size + 1
+        near = np.zeros(starts + 1, np.int64)
+        np.add.at(near, np.clip(ends - size + 1, 0, starts), 1)
+        np.add.at(near, np.clip(ends - self._phrase + 2, 0, starts), -1)
+        asked = np.flatnonzero(np.cumsum(near[:-1]) > 0)
         text = np.asarray(numbers, dtype=np.int64)
-        compared: set[tuple[int, int]] = set()
-        for end, places in self._automaton.iter(tuple(numbers)):
-            for passage, at in places:
-                source, own = self._passages[passage]
-                shift = end - self._phrase + 1 - at  # place of the passage's first word in the text
-                if source >= doc or (passage, shift) in compared:
-                    continue
-                compared.add((passage, shift))
-                low, high = max(0, shift), min(len(text), shift + len(own))
-                for start, stop in _runs(text[low:high] == own[low - shift : high - shift]):
-                    if stop - start >= self._size:
-                        out[low + start : low + stop] = True
-        return out
+        hashes = self._hashes(text)[asked]
+        at = np.searchsorted(self._hash, hashes)
+        within = np.arange(size)
+        edges = np.zeros(len(words) + 1, np.int64)
+        while len(asked):
+            # the smallest source of a window comes first; a later one counts only if hashes collide
+            known = at < len(self._hash)
+            known[known] = (self._hash[at[known]] == hashes[known]) & (self._source[at[known]] < doc)
+            asked, hashes, at = asked[known], hashes[known], at[known]
+            equal = np.ones(len(asked), bool)
+            for part in range(0, len(asked), 4096):
+                rows = slice(part, part + 4096)
+                equal[rows] = (text[asked[rows, None] + within] == self._words[self._place[at[rows], None] + within]).all(axis=1)
+            np.add.at(edges, asked[equal], 1)
+            np.add.at(edges, asked[equal] + size, -1)
+            asked, hashes, at = asked[~equal], hashes[~equal], at[~equal] + 1
+        return np.cumsum(edges[:-1]) > 0
 
 
 def _located(shards: DataFrame, size: int, with_text: bool) -> DataFrame:
