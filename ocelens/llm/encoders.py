@@ -10,9 +10,10 @@ import hashlib
 import json
 import os
 import re
+import struct
 from collections.abc import Callable, Iterator
 from contextlib import suppress
-from itertools import islice
+from itertools import filterfalse, islice
 
 import numpy as np
 from pyspark.sql import SparkSession
@@ -26,9 +27,24 @@ _BETWEEN = "\ue000"
 
 # Unicode white space as the tokenizers see it: Python's \s also has the separators 1C-1F.
 _SPACE, _SOLID = r"[^\S\x1c-\x1f]", r"[\S\x1c-\x1f]"
-# Precomposed letters that end where these marks begin, for every tokenizer of both families.
-_BEFORE_MARK = r"[A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff]++(?=[.,;:!?])"
-_WORD_ENDS = f"{_BEFORE_MARK}|{_SOLID}+"
+# Runs of letters, digits or marks that both families end where an ASCII character of another
+# kind begins. Beyond ASCII a combining mark could join them; an apostrophe can begin a suffix.
+_LETTERS = r"[A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff]++(?=[^A-Za-z\x80-\U0010ffff])"
+_DIGITS = r"[0-9]++(?=[^0-9\x80-\U0010ffff])"
+_MARKS = r"[!-&(-/:-@\[-`{-~]++(?=[A-Za-z0-9\x09-\x0d ])"
+_ONE_KIND = re.compile(r" ?(?:[A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff]+|[0-9]|[!-&(-/:-@\[-`{-~]+)")
+_SUFFIXES = "'s|'t|'re|'ve|'m|'ll|'d|"
+_WORD_ENDS = f"{_LETTERS}|[0-9](?=[\x00-\x7f])|{_MARKS}|{_SOLID}+"
+
+
+def _byte_letters() -> list[str]:
+    """The visible character that stands for each byte in byte-level vocabularies."""
+    shown = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    hidden = (chr(0x100 + k) for k in range(256))
+    return [chr(b) if b in shown else next(hidden) for b in range(256)]
+
+
+_BYTE_LETTERS = _byte_letters()
 
 
 class CutEncoder:
@@ -50,7 +66,7 @@ class CutEncoder:
 
     def _join(self, cuts: list[str]) -> bytes:
         """What is met again moves to the young generation; when that is full, the old one goes."""
-        fresh = {c for c in set(cuts) if c not in self._memory}
+        fresh = set(filterfalse(self._memory.__contains__, cuts))
         if fresh:
             if len(self._memory) + len(fresh) > MEMORY:
                 self._older, self._memory = self._memory, {}
@@ -74,21 +90,42 @@ class LibraryEncoder(CutEncoder):
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_str(spec.decode())
+        self._model = self._tokenizer.model
         rules = json.loads(spec)
         self._special = [t["content"] for t in rules.get("added_tokens") or []]
         cut = _cut_rule(rules)
         self._whole = cut is None
-        self._apart: list[int] = []
-        if cut == _WORD_ENDS:
-            self._apart = self._tokenizer.encode(_BETWEEN, add_special_tokens=False).ids
+        self._drops = cut == _WORD_ENDS
+        # what stands between cuts that are encoded in one call, and its ids
+        self._between = f" {_BETWEEN} " if self._drops else "\n"
+        self._apart: list[int] = [] if self._whole else self._tokenizer.encode(self._between, add_special_tokens=False).ids
         super().__init__(re.compile(cut or r"(?s).+"))
 
     def learn(self, cuts: list[str]) -> list[bytes]:
-        if not self._apart or len(cuts) < 2 or any(_BETWEEN in c for c in cuts):
+        if self._whole:
+            return self._by_pipeline(cuts)
+        # a cut of one kind is one word to the tokenizer and can go straight to its model
+        out = [self._by_model(c) if _ONE_KIND.fullmatch(c) else None for c in cuts]
+        rest = [k for k, ids in enumerate(out) if ids is None]
+        if rest:
+            for k, ids in zip(rest, self._by_pipeline([cuts[k] for k in rest]), strict=True):
+                out[k] = ids
+        return out
+
+    def _by_model(self, cut: str) -> bytes:
+        if self._drops:
+            cut = cut.lower()
+        if not cut.isascii() or " " in cut:
+            cut = "".join(map(_BYTE_LETTERS.__getitem__, cut.encode()))
+        ids = [token.id for token in self._model.tokenize(cut)]
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    def _by_pipeline(self, cuts: list[str]) -> list[bytes]:
+        if not self._apart or len(cuts) < 2 or any(map(self._blurs, cuts)):
             found = self._tokenizer.encode_batch_fast(cuts, add_special_tokens=False)
             return [np.asarray(e.ids, dtype="<u4").tobytes() for e in found]
         # one call for all cuts: white space keeps them and the separator apart
-        text = f" {_BETWEEN} ".join(cuts)
+        text = self._between.join(cuts)
         ids = np.asarray(self._tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4")
         here = np.ones(max(0, len(ids) - len(self._apart) + 1), dtype=bool)
         for k, one in enumerate(self._apart):
@@ -97,10 +134,14 @@ class LibraryEncoder(CutEncoder):
         starts = [0, *(ends + len(self._apart)).tolist()]
         return [ids[a:b].tobytes() for a, b in zip(starts, [*ends.tolist(), len(ids)], strict=True)]
 
+    def _blurs(self, cut: str) -> bool:
+        """Whether the separator could not be told from the cut, or would join with it."""
+        return _BETWEEN in cut if self._drops else cut[-1].isspace()
+
     def encode(self, text: str) -> bytes:
         if self._whole or any(s in text for s in self._special):
             return self.learn([text])[0]
-        if self._apart:
+        if self._drops:
             # Latin-1 texts are lower-cased the same way, letter by letter, by anyone
             with suppress(UnicodeEncodeError):
                 text.encode("latin-1")
@@ -121,7 +162,7 @@ def _cut_rule(rules: dict) -> str | None:
     normal, pre = rules.get("normalizer"), rules.get("pre_tokenizer") or {}
     if normal is None and pre.get("type") == "ByteLevel" and pre.get("use_regex") and not pre.get("add_prefix_space"):
         # one space belongs to the word behind it, earlier white space is a token of its own
-        return f" ?{_BEFORE_MARK}| ?{_SOLID}+|{_SPACE}+(?!{_SOLID})|{_SPACE}"
+        return f" ?{_LETTERS}| ?{_DIGITS}| ?{_MARKS}| ?{_SOLID}+|{_SPACE}+(?!{_SOLID})|{_SPACE}"
     steps = (normal or {}).get("normalizers", [])
     shape = [s.get("type") for s in steps]
     parts = pre.get("pretokenizers", [])
@@ -132,7 +173,7 @@ def _cut_rule(rules: dict) -> str | None:
         and [p.get("type") for p in parts] == ["Split", "ByteLevel"]
         and parts[0].get("behavior") == "Removed"
         and parts[0].get("invert")
-        and re.sub(r"\[\^\\s[^]]*\]", "", parts[0]["pattern"].get("Regex", " ")).find(" ") < 0
+        and parts[0]["pattern"].get("Regex", "").removeprefix(_SUFFIXES) == r"[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
         and not parts[1].get("add_prefix_space")
         and not parts[1].get("use_regex")
     ):
