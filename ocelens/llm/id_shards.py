@@ -3,7 +3,7 @@
 A store is a folder with two Parquet tables, written by Spark's own writer so that it may
 lie in any file system and survives lost executors:
 
-* ``payload`` (shard, block, width, doc_ids, copies, lengths, ids): blocks of about a megabyte of
+* ``payload``, a folder for each shard, (shard, block, width, doc_ids, copies, lengths, ids): blocks of about a megabyte of
   raw little-endian ids, of 16 bits where the vocabulary allows it, else of 32. Documents
   follow in ascending doc_id, shards are consecutive ranges of doc_id.
 * ``index`` (part, levels, bits, fingerprints, shards, blocks, offsets, lengths,
@@ -21,7 +21,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -31,8 +30,11 @@ from ocelens.llm.perfect_hash import PerfectHash
 from ocelens.llm.words import mix
 from ocelens.session import materialise
 
-BLOCK_BYTES = 1 << 20
+#: Ids in a block, and text behind a shard, about.
+BLOCK_BYTES, SHARD_BYTES = 1 << 20, 128 << 20
 KEYS_PER_PART = 20_000
+#: So many shards are named in a filter on the payload's folders; beyond that all are read.
+_FEW_SHARDS = 100
 
 _PAYLOAD = "shard int, block int, width int, doc_ids array<long>, copies array<long>, lengths array<long>, ids binary"
 _INDEX = (
@@ -50,13 +52,39 @@ def _fingerprints(keys: np.ndarray, salts: np.ndarray) -> np.ndarray:
     return (mix(salts ^ mix(keys)) >> np.uint64(32)).astype(np.uint32)
 
 
-def _write_payload(docs: DataFrame, path: str, folder: str, end_id: int, width: int) -> None:
+def _borders(docs: DataFrame, shards: int) -> np.ndarray:
+    """Ids that split the documents into about equal shards; they only set the sizes."""
+    if shards < 2:
+        return np.empty(0, np.int64)
+    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"))
+    found = ids.approxQuantile("doc_id", [k / shards for k in range(1, shards)], 0.25 / shards)
+    return np.unique(np.array(found, np.float64)).astype(np.int64)
+
+
+def _encoded(docs: DataFrame, path: str, end_id: int, width: int, borders: np.ndarray) -> DataFrame:
+    """(shard, doc_id, ids): raw ids of every whole text with the end id, ``width`` bytes each."""
     get = by_library(docs.sparkSession, path)
     end, kind = end_id.to_bytes(4, "little"), f"<u{width}"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, shard = get(), TaskContext.get().partitionId()
-        number, last, copy = 0, None, -1
+        encoder = get()
+        for part in slices(batches, "text"):
+            found = [np.frombuffer(encoder.encode(t) + end, "<u4").astype(kind).tobytes() for t in texts(part, "text")]
+            ids = part.column("doc_id")
+            # null ids come first
+            known = ids.fill_null(np.iinfo(np.int64).min).to_numpy()
+            shard = np.searchsorted(borders, known, "right").astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(shard), ids, pa.array(found, pa.binary())], ["shard", "doc_id", "ids"])
+
+    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return map_arrow(source, run, "shard int, doc_id long, ids binary")
+
+
+def _write_payload(encoded: DataFrame, folder: str, width: int) -> None:
+    """Blocks of a shard in order; ids are narrower than texts, so these are what is moved and sorted."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shard, number, last, copy = None, 0, None, -1
         ids, copies, lengths, parts, held = [], [], [], [], 0
 
         def block() -> pa.RecordBatch:
@@ -65,26 +93,28 @@ def _write_payload(docs: DataFrame, path: str, folder: str, end_id: int, width:
             names = [f.split()[0] for f in _PAYLOAD.split(", ")]
             return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(values, kinds, strict=True)], names)
 
-        for part in slices(batches, "text"):
-            for doc, text in zip(part.column("doc_id").to_pylist(), texts(part, "text"), strict=True):
+        for part in slices(batches, "ids"):
+            for now, doc, found in zip(*(part.column(c).to_pylist() for c in ("shard", "doc_id", "ids")), strict=True):
+                if now != shard or held >= BLOCK_BYTES:
+                    if ids:
+                        yield block()
+                    number = number + 1 if now == shard else 0
+                    ids, copies, lengths, parts, held = [], [], [], [], 0
+                    if now != shard:
+                        shard, last, copy = now, None, -1
                 copy = copy + 1 if copy >= 0 and doc == last else 0
                 last = doc
-                found = np.frombuffer(encoder.encode(text) + end, "<u4").astype(kind)
                 ids.append(doc)
                 copies.append(copy)
-                lengths.append(len(found))
-                parts.append(found.tobytes())
-                held += width * len(found)
-                if held >= BLOCK_BYTES:
-                    yield block()
-                    number, ids, copies, lengths, parts, held = number + 1, [], [], [], [], 0
+                lengths.append(len(found) // width)
+                parts.append(found)
+                held += len(found)
         if ids:
             yield block()
 
-    ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    # the text settles ties, so that a task that runs again writes the same blocks
-    ordered = ordered.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    map_arrow(ordered, run, _PAYLOAD).write.option("compression", "zstd").parquet(f"{folder}/payload")
+    # the ids settle ties, so that a task that runs again writes the same blocks
+    ordered = encoded.repartition("shard").sortWithinPartitions("shard", "doc_id", "ids")
+    map_arrow(ordered, run, _PAYLOAD).write.partitionBy("shard").option("compression", "zstd").parquet(f"{folder}/payload")
 
 
 def _directory(spark: SparkSession, folder: str) -> DataFrame:
@@ -143,11 +173,15 @@ def write_store(docs: DataFrame, path: str, folder: str, end_id: int) -> None:
     """Encode every whole text, append ``end_id`` and write payload and index to a new folder.
 
     Columns read: doc_id (integer), text. A null or empty text has the end id alone; null
-    doc_ids come first; an empty table gives an empty store.
+    doc_ids come first; an empty table gives an empty store. A text of any length is
+    encoded as a whole and stands in one block.
     """
     rules = json.loads(vocabulary(path))
     largest = max([end_id, *rules["model"]["vocab"].values(), *(t["id"] for t in rules.get("added_tokens") or [])])
-    _write_payload(docs, path, folder, end_id, 2 if largest < 1 << 16 else 4)
+    width = 2 if largest < 1 << 16 else 4
+    size = docs.agg(F.sum(F.octet_length(F.col("text").cast("string")))).first()[0] or 0
+    shards = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), size // SHARD_BYTES + 1)
+    _write_payload(_encoded(docs, path, end_id, width, _borders(docs, shards)), folder, width)
     _write_index(docs.sparkSession, folder)
 
 
@@ -184,10 +218,14 @@ def locate(spark: SparkSession, folder: str, keys: DataFrame) -> DataFrame:
 def fetch(spark: SparkSession, folder: str, located: DataFrame) -> DataFrame:
     """(doc_id, copy, start, ids): the raw ids, little-endian 32 bits, of located documents.
 
-    Requests meet at their block, which bounds how many there are.
+    Requests meet at their block, which bounds how many there are. If they name few shards,
+    only the files of these are read.
     """
+    named = [r[0] for r in located.select("shard").distinct().limit(_FEW_SHARDS + 1).collect()]
     requests = located.groupBy("shard", "block").agg(F.collect_list(F.struct("doc_id", "copy", "offset", "length", "start")).alias("_asked"))
     payload = spark.read.schema(_PAYLOAD).parquet(f"{folder}/payload").select("shard", "block", "width", "ids")
+    if len(named) <= _FEW_SHARDS:
+        payload = payload.where(F.col("shard").isin(named))
     joined = payload.join(requests, ["shard", "block"]).select("width", "ids", "_asked")
 
     def run(batches):

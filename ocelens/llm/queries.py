@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ocelens.llm import byte_bpe, dart_minhash, embedding_dedup, id_shards, packing, periodic_runs, preferences, quality, sentencepieces, sharding, spelling, substring_dedup, token_counts
-from ocelens.session import configure, shared_folder
+from ocelens.session import configure, materialise, shared_folder
 
 
 _WORD = r"[^\x20\x09-\x0D]+"
@@ -57,7 +57,7 @@ def op6_indexed_id_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     # every key of the table; a doc_id has as many copies as rows
     keys = docs.groupBy("doc_id").agg(F.count("*").alias("n"))
     keys = keys.select("doc_id", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("copy"))
-    fetched = id_shards.fetch(spark, store, id_shards.locate(spark, store, keys))
+    fetched = id_shards.fetch(spark, store, materialise(id_shards.locate(spark, store, keys)))
     n_tokens = (F.length("ids") / 4).cast("long").alias("n_tokens")
     return fetched.select("doc_id", "start", n_tokens, F.crc32("ids").alias("ids_crc32"))
 
