@@ -1,7 +1,8 @@
 """Iterative graph steps on edge tables: nearest marked ancestor and edges on cycles.
 
 State stays linear in the edges (no transitive closure is ever built), each step is a
-join plus an aggregate, and the lineage is cut after every step.
+join plus an aggregate, and the lineage is cut after every step. Pointers double, so
+chains take a number of steps that grows with the logarithm of their length.
 """
 
 from __future__ import annotations
@@ -11,8 +12,6 @@ from pyspark.sql import functions as F
 
 from ocelens.session import materialise
 
-SMALL_GRAPH_EDGES = 16
-
 
 def nearest_marked_ancestor(nodes: DataFrame) -> DataFrame:
     """Resolve every unmarked node to its closest marked ancestor by pointer jumping.
@@ -56,125 +55,101 @@ def nearest_marked_ancestor(nodes: DataFrame) -> DataFrame:
     return state.select("tree", "node", F.when(F.col("resolved"), F.col("at")).alias("ancestor"))
 
 
-def _trim(edges: DataFrame) -> DataFrame:
-    """Repeatedly drop edges that start where nothing arrives or end where nothing leaves."""
-    size = edges.count()
-    while size:
-        sources = edges.select("g", F.col("u").alias("v")).distinct()
-        targets = edges.select("g", F.col("v").alias("u")).distinct()
-        edges = materialise(
-            edges.join(sources, ["g", "v"], "left_semi").join(targets, ["g", "u"], "left_semi")
-        )
-        left = edges.count()
-        if left == size:
-            break
-        size = left
-    return edges
+def _degrees(edges: DataFrame) -> DataFrame:
+    """(g, n, arriving, leaving, before, after): the neighbours are meant where there is one."""
+    ends = edges.select("g", F.col("u").alias("n"), F.lit(0).alias("i"), F.lit(1).alias("o"), F.lit(None).cast(edges.schema["u"].dataType).alias("p"), F.col("v").alias("s"))
+    ends = ends.unionByName(edges.select("g", F.col("v").alias("n"), F.lit(1).alias("i"), F.lit(0).alias("o"), F.col("u").alias("p"), F.lit(None).cast(edges.schema["v"].dataType).alias("s")))
+    return ends.groupBy("g", "n").agg(F.sum("i").alias("arriving"), F.sum("o").alias("leaving"), F.max("p").alias("before"), F.max("s").alias("after"))
 
 
-def _spread(edges: DataFrame, state: DataFrame, label: str, step) -> DataFrame:
-    """Push the largest ``label`` along ``step`` edges (a -> b) until nothing changes."""
+def _compressed(edges: DataFrame) -> DataFrame:
+    """(g, u, v, start, stop): each edge with the ends of the chain it lies on, without dead ends.
+
+    A chain passes through nodes with one edge in and one out; an edge outside chains is its
+    own. Both ends are null on a cycle that is nothing but a chain. Edges are left out if
+    nothing arrives where their chain starts, or nothing leaves where it stops.
+    """
+    nodes = materialise(_degrees(edges).withColumn("kept", (F.col("arriving") != 1) | (F.col("leaving") != 1)))
+    # both directions climb together, as trees of their own
+    climbs = [nodes.select(F.struct("g", F.lit(way).alias("way")).alias("tree"), F.col("n").alias("node"), F.col(to).alias("parent"), F.col("kept").alias("marked")) for way, to in ((0, "before"), (1, "after"))]
+    ends = nearest_marked_ancestor(climbs[0].unionByName(climbs[1]))
+    ends = ends.select(F.col("tree.g").alias("g"), F.col("tree.way").alias("way"), F.col("node").alias("n"), F.col("ancestor").alias("end"))
+    out = edges
+    for way, at, name, count in ((0, "u", "start", "arriving"), (1, "v", "stop", "leaving")):
+        own = nodes.where("kept").select("g", "n", F.col("n").alias("end"))
+        through = ends.where(F.col("way") == way).select("g", "n", "end")
+        dead = nodes.where(F.col(count) == 0).select("g", F.col("n").alias("end"))
+        reached = own.unionByName(through).join(dead, ["g", "end"], "left_anti").select("g", F.col("n").alias(at), F.col("end").alias(name))
+        out = out.join(reached, ["g", at])
+    return materialise(out.select("g", "u", "v", "start", "stop"))
+
+
+def _largest_reaching(edges: DataFrame) -> DataFrame:
+    """(g, n, best): the largest node from which a path leads to n, n included.
+
+    What reaches the best node so far reaches n too, so each step also jumps there.
+    """
+    state = materialise(edges.select("g", F.col("u").alias("n")).union(edges.select("g", "v")).distinct().withColumn("best", F.col("n")))
     while True:
-        arrived = (
-            step(edges, state).groupBy("g", F.col("b").alias("n")).agg(F.max("pushed").alias("pushed"))
-        )
-        nxt = materialise(
-            state.join(arrived, ["g", "n"], "left").select(
-                *[c for c in state.columns if c != label],
-                F.greatest(F.col(label), F.col("pushed")).alias(label),
-                F.coalesce(F.col("pushed") > F.col(label), F.lit(False)).alias("_changed"),
-            )
-        )
-        changed = not nxt.where("_changed").isEmpty()
-        state = nxt.drop("_changed").select(*state.columns)
-        if not changed:
-            return state
+        pushed = edges.join(state.select("g", F.col("n").alias("u"), "best"), ["g", "u"]).select("g", F.col("v").alias("n"), "best")
+        jumped = state.join(state.select("g", F.col("n").alias("best"), F.col("best").alias("_far")), ["g", "best"]).select("g", "n", F.col("_far").alias("best"))
+        offers = pushed.unionByName(jumped).withColumn("old", F.lit(None).cast(state.schema["best"].dataType))
+        best = offers.unionByName(state.withColumn("old", F.col("best"))).groupBy("g", "n").agg(F.max("best").alias("best"), F.max("old").alias("old"))
+        moved = materialise(best)
+        if moved.where("best > old").isEmpty():
+            return moved.select("g", "n", "best")
+        state = moved.select("g", "n", "best")
 
 
-def _cyclic_by_colouring(left: DataFrame) -> DataFrame:
-    """Cyclic edges of graphs of any size, with state linear in the edges.
+def _components_of_colours(edges: DataFrame) -> DataFrame:
+    """(g, u, v, cyclic): one colour round; edges of settled components that are on no cycle are left out.
 
-    An edge is on a cycle exactly when both ends share a strongly connected component.
-    After trimming, each round colours nodes with the largest node that reaches them;
-    a node that keeps its own colour roots one component, found by walking backwards
-    inside the colour. All colours of all graphs proceed together.
+    Nodes take the colour of the largest node that reaches them. The nodes of a colour
+    that reach this node are its strongly connected component.
     """
-    out = left.limit(0)
-    left = _trim(left)
-    while not left.isEmpty():
-        nodes = left.select("g", F.col("u").alias("n")).union(left.select("g", "v")).distinct()
-        coloured = _spread(
-            left,
-            nodes.withColumn("colour", F.col("n")),
-            "colour",
-            lambda e, s: e.join(
-                s.select("g", F.col("n").alias("u"), F.col("colour").alias("pushed")), ["g", "u"]
-            ).select("g", F.col("v").alias("b"), "pushed"),
-        )
-        # edges inside one colour are the only ones a backward walk may use
-        ends = coloured.select("g", F.col("n").alias("v"), F.col("colour").alias("cv"))
-        inner = materialise(
-            left.join(coloured.select("g", F.col("n").alias("u"), F.col("colour").alias("cu")), ["g", "u"])
-            .join(ends, ["g", "v"])
-            .where("cu = cv")
-            .select("g", "u", "v")
-        )
-        reached = _spread(
-            inner,
-            coloured.select("g", "n", (F.col("n") == F.col("colour")).cast("int").alias("hit")),
-            "hit",
-            lambda e, s: e.join(
-                s.where("hit = 1").select("g", F.col("n").alias("v"), F.col("hit").alias("pushed")),
-                ["g", "v"],
-            ).select("g", F.col("u").alias("b"), "pushed"),
-        )
-        component = reached.where("hit = 1").select("g", "n")
-        on_cycle = materialise(
-            inner.join(component.select("g", F.col("n").alias("u")), ["g", "u"], "left_semi").join(
-                component.select("g", F.col("n").alias("v")), ["g", "v"], "left_semi"
-            )
-        )
-        out = out.unionByName(on_cycle)
-        rest = left.join(component.select("g", F.col("n").alias("u")), ["g", "u"], "left_anti").join(
-            component.select("g", F.col("n").alias("v")), ["g", "v"], "left_anti"
-        )
-        left = _trim(materialise(rest))
-    return out
-
-
-def _cyclic_in_row(small: DataFrame) -> DataFrame:
-    """Cyclic edges of graphs with at most ``SMALL_GRAPH_EDGES`` edges, one row per graph."""
-    pair = "struct(a.u AS u, b.v AS v)"
-    hop = f"flatten(transform(acc, a -> transform(filter(acc, b -> b.u = a.v), b -> {pair})))"
-    squarings = (SMALL_GRAPH_EDGES - 1).bit_length()
-    closure = (
-        f"aggregate(sequence(1, {squarings}), edges, "
-        f"(acc, i) -> array_distinct(concat(acc, {hop})))"
-    )
-    return (
-        small.groupBy("g")
-        .agg(F.collect_list(F.struct("u", "v")).alias("edges"))
-        .withColumn("reach", F.expr(closure))
-        .select(
-            "g",
-            F.inline(
-                F.expr("filter(edges, e -> array_contains(reach, struct(e.v AS u, e.u AS v)) OR e.u = e.v)")
-            ),
-        )
-    )
+    colours = _largest_reaching(edges)
+    both = edges.join(colours.select("g", F.col("n").alias("u"), F.col("best").alias("cu")), ["g", "u"])
+    both = materialise(both.join(colours.select("g", F.col("n").alias("v"), F.col("best").alias("cv")), ["g", "v"]))
+    inner = materialise(both.where("cu = cv").select("g", F.col("v").alias("u"), F.col("u").alias("v"), F.col("cu").alias("colour")))
+    # the root is the largest of its colour, so a node reaches it if that is the largest it reaches
+    back = _largest_reaching(inner.select("g", "u", "v"))
+    member = materialise(back.join(colours.withColumnRenamed("best", "colour"), ["g", "n"]).where("best = colour").select("g", "n", "colour"))
+    joined = both.join(member.select("g", F.col("n").alias("u"), F.col("colour").alias("ru")), ["g", "u"], "left")
+    joined = joined.join(member.select("g", F.col("n").alias("v"), F.col("colour").alias("rv")), ["g", "v"], "left")
+    cyclic = F.coalesce(F.col("ru") == F.col("rv"), F.lit(False))
+    return joined.withColumn("cyclic", cyclic).where("cyclic or (ru is null and rv is null)").select("g", "u", "v", "cyclic")
 
 
 def cyclic_edges(edges: DataFrame) -> DataFrame:
     """The distinct edges (g, u, v) that lie on a directed cycle of their graph ``g``.
 
-    Copies of an edge collapse first. Graphs small enough to be closed inside one row
-    take one shuffle; larger graphs, however large, take the iterative path.
+    Rake and compress: edges to or from dead ends go, and chains become one edge, so trees
+    and paths vanish in a number of rounds that grows with the logarithm of their size. What neither
+    changes is coloured, which settles the component of every colour's root. An edge of a
+    chain is on a cycle if the edge that stands for the chain is. Copies of an edge
+    collapse first; an edge from a node to itself is a cycle. All graphs proceed together.
     """
-    distinct = materialise(edges.select("g", "u", "v").distinct())
-    sizes = distinct.groupBy("g").count()
-    large = sizes.where(F.col("count") > SMALL_GRAPH_EDGES).select("g")
-    if large.isEmpty():
-        return _cyclic_in_row(distinct)
-    small = distinct.join(large, "g", "left_anti")
-    big = materialise(distinct.join(large, "g", "left_semi"))
-    return _cyclic_in_row(small).unionByName(_cyclic_by_colouring(big))
+    left = materialise(edges.select("g", "u", "v").distinct())
+    found, levels = [], []  # cyclic edges of each level, and its edges with those of the next
+    while not left.isEmpty():
+        loops, rest = left.where("u = v"), left.where("u <> v")
+        level = _compressed(rest)
+        cyclic, level = loops.unionByName(level.where("start is null").select("g", "u", "v")), level.where("start is not null")
+        following = materialise(level.select("g", F.col("start").alias("u"), F.col("stop").alias("v")).distinct())
+        if not following.isEmpty() and following.count() == left.count():
+            coloured = materialise(_components_of_colours(following))
+            cyclic = cyclic.unionByName(coloured.where("cyclic").select("g", "u", "v"))
+            level = coloured.where("not cyclic").select("g", "u", "v", F.col("u").alias("start"), F.col("v").alias("stop"))
+            following = level.select("g", "u", "v")
+        found.append(cyclic)
+        levels.append(level)
+        left = following
+    if not found:
+        return left
+    out = found.pop()
+    levels.pop()
+    while found:
+        beyond = out.select("g", F.col("u").alias("start"), F.col("v").alias("stop"))
+        within = levels.pop().join(beyond, ["g", "start", "stop"], "left_semi").select("g", "u", "v")
+        out = found.pop().unionByName(within)
+    return out

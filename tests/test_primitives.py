@@ -44,15 +44,37 @@ def _reachable(edges):
     return out
 
 
-def test_cyclic_edges_small_and_large_paths_match_brute_force(spark):
+def test_cyclic_edges_match_brute_force(spark):
     rng = random.Random(5)
-    graphs = {f"g{k}": {(f"n{rng.randrange(6)}", f"n{rng.randrange(6)}") for _ in range(rng.randrange(1, 9))} for k in range(12)}
-    graphs["big"] = {(f"n{rng.randrange(30)}", f"n{rng.randrange(30)}") for _ in range(40)}
+    graphs = {f"g{k}": {(f"n{rng.randrange(6)}", f"n{rng.randrange(6)}") for _ in range(rng.randrange(1, 9))} for k in range(30)}
+    graphs["big"] = {(f"n{rng.randrange(30)}", f"n{rng.randrange(30)}") for _ in range(60)}
+    graphs["wide"] = {(f"n{rng.randrange(40)}", f"n{rng.randrange(40)}") for _ in range(48)}
+    # a tree, chains between cycles, two chains with the same ends, a ladder
+    graphs["tree"] = {(f"n{k // 2}", f"n{k}") for k in range(2, 40)}
+    graphs["chains"] = {(f"n{k}", f"n{k + 1}") for k in range(20)} | {("n5", "n3"), ("n15", "n11"), ("n0", "n0"), ("n20", "n20")}
+    graphs["double"] = {("a", "p"), ("p", "b"), ("a", "q"), ("q", "b"), ("b", "r"), ("r", "a"), ("b", "x"), ("x", "y")}
+    graphs["ladder"] = {e for k in range(6) for e in ((f"u{k}", f"u{k + 1}"), (f"v{k}", f"v{k + 1}"), (f"u{k}", f"v{k}"), (f"v{k}", f"u{k + 1}"))}
+    graphs["full"] = {(f"n{a}", f"n{b}") for a in range(5) for b in range(5)} | {("n0", "m0")} | {(f"m{a}", f"m{b}") for a in range(4) for b in range(4) if a != b}
     df = spark.createDataFrame([(g, u, v) for g, es in graphs.items() for u, v in es], "g string, u string, v string")
     expected = {(g, u, v) for g, es in graphs.items() for u, v in _reachable(es)}
     assert {tuple(r) for r in graph.cyclic_edges(df.union(df)).select("g", "u", "v").collect()} == expected
-    small = spark.createDataFrame([("a", "x", "x"), ("a", "x", "y")], "g string, u string, v string")
-    assert [tuple(r) for r in graph._cyclic_by_colouring(small).collect()] == [("a", "x", "x")]
+    assert graph.cyclic_edges(df.limit(0)).count() == 0
+
+
+def _counted_writes(monkeypatch, module) -> list:
+    writes = []
+    real = module.materialise
+    monkeypatch.setattr(module, "materialise", lambda df: writes.append(1) or real(df))
+    return writes
+
+
+@pytest.mark.parametrize("closed", [False, True])
+def test_long_paths_and_cycles_take_few_writes(spark, monkeypatch, closed):
+    writes = _counted_writes(monkeypatch, graph)
+    edges = [("g", k, (k + 1) % 1001 if closed else k + 1) for k in range(1001 if closed else 1000)]
+    found = graph.cyclic_edges(spark.createDataFrame(edges, "g string, u int, v int")).count()
+    assert found == (1001 if closed else 0)
+    assert len(writes) <= 30
 
 
 def test_nearest_ancestor_over_a_deep_chain_and_a_cycle(spark):
