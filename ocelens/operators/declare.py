@@ -31,7 +31,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ocelens.functions.ordering import with_neighbours
@@ -63,6 +63,7 @@ ACTIVATED_BY = {
         ("responded_existence", "response", "altresponse", "chainresponse", "nonsuccession", "nonchainsuccession"), "a"
     ),
 }
+_LETTERS_IN_BLOCK = 1000
 #: Templates that a case with one of the two activities satisfies.
 NEGATIVE = ("noncoexistence", "nonsuccession", "nonchainsuccession")
 
@@ -147,6 +148,22 @@ def _counts(rows: DataFrame, counts: dict[str, tuple[Column, Column]]) -> DataFr
     return rows.select(F.inline(cells), "a", "b").select("template", "a", "b", "activated", "satisfied")
 
 
+def _candidate_pairs(letters: DataFrame, least: float) -> DataFrame:
+    """(a, has_a, b, has_b): the pairs that can reach ``least`` activated cases.
+
+    A template is activated by one of its letters or by both, so one of them has half of
+    these cases at least. A case has few letters, so few letters are that frequent; each
+    is dealt to every block of the others, and the pairs of a block are a task of their own.
+    """
+    blocks = letters.count() // _LETTERS_IN_BLOCK + 1
+    block = F.pmod(F.xxhash64("activity"), F.lit(blocks)).cast("long").alias("block")
+    frequent = letters.where(F.col("has") * 2 >= least).select(F.col("activity").alias("a"), F.col("has").alias("has_a"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("block"))
+    others = letters.select(F.col("activity").alias("b"), F.col("has").alias("has_b"), block)
+    one_way = frequent.join(others, "block").where("a <> b").select("a", "has_a", "b", "has_b")
+    back = one_way.where(F.col("has_b") * 2 < least).select(F.col("b").alias("a"), F.col("has_b").alias("has_a"), F.col("a").alias("b"), F.col("has_a").alias("has_b"))
+    return one_way.unionByName(back)
+
+
 def discover(
     flat: DataFrame,
     *,
@@ -180,10 +197,7 @@ def discover(
         met = _met(flat, stats, any(t in ALTERNATE for t in binary)).groupBy("a", "b").agg(
             F.count("*").alias("met"), *[F.count_if(rules[t]).alias(t) for t in binary]
         )
-        # the model has every pair of activities, so this is the size of the result
-        every = F.collect_list(F.struct(F.col("activity").alias("b"), F.col("has").alias("has_b"))).over(Window.partitionBy(F.lit(1)))
-        pairs = letters.select(F.col("activity").alias("a"), F.col("has").alias("has_a"), every.alias("others"))
-        pairs = pairs.select("a", "has_a", F.inline("others")).where("a <> b").join(met, ["a", "b"], "left").fillna(0)
+        pairs = _candidate_pairs(letters, min_support * cases).join(met, ["a", "b"], "left").fillna(0)
         active = {"a": F.col("has_a"), "b": F.col("has_b"), "either": F.col("has_a") + F.col("has_b") - F.col("met")}
         counts = {}
         for t in binary:

@@ -29,7 +29,7 @@ def _random(seed, n):
     return make("p"), make("t")
 
 
-@pytest.mark.parametrize("seed, threshold", [(1, 1), (2, 1), (3, 2), (4, 3)])
+@pytest.mark.parametrize("seed, threshold", [(1, 1), (2, 1), (3, 2), (4, 3), (5, 1)])
 def test_overlap_matching_equals_the_sequential_greedy(spark, seed, threshold):
     preds, truths = _random(seed, 25)
     expected = _greedy(preds, truths, lambda p, t: p[1].lower() == t[1].lower() and len(set(p[2]) & set(t[2])) >= threshold)
@@ -45,6 +45,30 @@ def test_overlap_matching_equals_the_sequential_greedy(spark, seed, threshold):
     }
 
 
+def test_many_truths_on_one_event_take_few_writes(spark, monkeypatch):
+    writes = []
+    real = evaluation.materialise
+    monkeypatch.setattr(evaluation, "materialise", lambda df: writes.append(1) or real(df))
+    preds = [(f"p{i:04d}", "A", ["hot", f"own{i}"], "s") for i in range(900)]
+    truths = [(f"t{i:04d}", "A", ["hot"], "s") for i in range(1000)]
+    p = spark.createDataFrame(preds, PRED).withColumnRenamed("prediction_id", "claim_id")
+    got = {(r.claim_id, r.violation_id) for r in evaluation.overlap_matches(p, spark.createDataFrame(truths, TRUTH), {}).collect()}
+    assert got == {(f"p{i:04d}", f"t{i:04d}") for i in range(900)}
+    assert len(writes) <= 20
+
+
+def test_a_frequent_event_adds_no_pairs(spark):
+    """Sets that share one event everywhere meet only on what else they share."""
+    preds = [(f"p{i:03d}", "A", ["hot", f"e{i % 40}", f"x{i}"], "s") for i in range(200)]
+    truths = [(f"t{i:03d}", "A", ["hot", f"e{i % 50}"], "s") for i in range(200)]
+    p, t = spark.createDataFrame(preds, PRED), spark.createDataFrame(truths, TRUTH)
+    c = p.select(F.col("prediction_id").alias("c"), F.col("constraint_id").alias("label"), "ocel_event_ids")
+    links = evaluation._linked(c, t.select(F.col("violation_id").alias("t"), F.col("constraint_id").alias("label"), "ocel_event_ids"), 2)
+    assert [x.count() for x in links] == [200, 4 * 40]
+    got = {(r.claim_id, r.violation_id) for r in evaluation.overlap_matches(p.withColumnRenamed("prediction_id", "claim_id"), t, {}, 2).collect()}
+    assert got == set(_greedy(preds, truths, lambda a, b: len(set(a[2]) & set(b[2])) >= 2))
+
+
 def test_exact_and_session_confusion_equal_the_sequential_greedy(spark):
     preds, truths = _random(9, 40)
     p, t = spark.createDataFrame(preds, PRED), spark.createDataFrame(truths, TRUTH)
@@ -56,6 +80,32 @@ def test_exact_and_session_confusion_equal_the_sequential_greedy(spark):
     assert evaluation.session_confusion(p, t).first().tp == len(same)
 
 
+def test_a_callers_matcher(spark):
+    preds, truths = _random(11, 30)
+    p, t = spark.createDataFrame(preds, PRED), spark.createDataFrame(truths, TRUTH)
+    assert tuple(evaluation.matched_confusion(p, t).first()) == tuple(evaluation.confusion(p, t).select("tp", "fp", "fn").first())
+
+    def same_number(predicted, truth):
+        number = lambda c: F.substring(c, 2, 9)
+        return predicted.where("prediction_id < 'p010'").join(truth, number("prediction_id") == number("violation_id"))
+
+    evaluation.register_matcher("same_number", same_number)
+    assert tuple(evaluation.matched_confusion(p, t, "same_number").first()) == (10, 20, 20)
+    with pytest.raises(ValueError):
+        evaluation.register_matcher("same_number", same_number)
+    with pytest.raises(Exception, match="an id twice"):
+        evaluation.matched_confusion(p, t, lambda a, b: a.join(b, a.constraint_id == b.constraint_id)).collect()
+
+
+@pytest.mark.parametrize("least", [0, 3, 8])
+def test_candidate_pairs_of_letters(spark, least, monkeypatch):
+    monkeypatch.setattr(declare, "_LETTERS_IN_BLOCK", 4)
+    has = {f"a{k:02d}": k % 7 for k in range(23)}
+    letters = spark.createDataFrame(list(has.items()), "activity string, has long")
+    got = sorted(map(tuple, declare._candidate_pairs(letters, least).collect()))
+    assert got == sorted((a, x, b, y) for a, x in has.items() for b, y in has.items() if a != b and max(x, y) * 2 >= least)
+
+
 @pytest.mark.parametrize(
     "counts, ratios",
     [((0, 0, 0), (1.0, 1.0, 1.0)), ((0, 0, 2), (0.0, 0.0, 0.0)), ((0, 2, 0), (0.0, 0.0, 0.0)), ((3, 1, 2), (0.75, 0.6, 2 / 3))],

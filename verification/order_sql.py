@@ -202,10 +202,9 @@ v_t5 AS (
   SELECT 'T5.prohibited_attribute_access' AS constraint_id, r.event_id AS events,
          r.object_id AS objects, r.session_id, 'high' AS severity
   FROM rel r JOIN resource q ON q.object_id = r.object_id
+  JOIN (SELECT DISTINCT event_id FROM rel WHERE qualifier = 'concerns' AND object_type = 'Application') a ON a.event_id = r.event_id
   WHERE r.event_type IN ('retrieve_data', 'call_llm') AND r.qualifier = 'reads'
     AND q.classification = 'special_category' AND trim(q.lawful_basis) = ''
-    AND EXISTS (SELECT 1 FROM rel a WHERE a.event_id = r.event_id AND a.qualifier = 'concerns'
-                AND a.object_type = 'Application')
 )""",
     "STD": """
 v_std AS (

@@ -5,18 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ocelens.functions.ordering import with_rank_in_group
 from ocelens.operators import claims, evaluation
 from ocelens.operators.constraints import TEMPLATES
 from verification.order_log import order_log, order_rules
 from ocelens.session import configure
-from verification.order_sql import with_orders
+from verification.order_sql import all_violations
 
 SYNONYMS = {
     "missing reason codes": "T4.reason_code_presence",
     "special category access": "T5.prohibited_attribute_access",
     "stale policy": "STD.policy_version_current",
 }
-_TRUTH_RULES = ("T4", "T5", "STD")
 
 
 def _query(fn):
@@ -30,9 +30,8 @@ def _query(fn):
 def _truth(spark, sf_dir) -> DataFrame:
     log, out = order_log(spark, sf_dir), None
     for rule in order_rules():
-        if rule.constraint_id.startswith(_TRUTH_RULES):
-            rows = TEMPLATES[rule.template](log, rule)
-            out = rows if out is None else out.unionByName(rows)
+        rows = TEMPLATES[rule.template](log, rule)
+        out = rows if out is None else out.unionByName(rows)
     return out.select(
         F.concat_ws("|", "constraint_id", F.array_join("ocel_event_ids", ",")).alias("violation_id"),
         "constraint_id",
@@ -66,7 +65,8 @@ def _claims(truth: DataFrame) -> DataFrame:
         F.when(F.col("k") % 2 == 0, F.col("constraint_id"))
         .when(F.col("constraint_id").startswith("T4"), F.lit(" Missing Reason Codes "))
         .when(F.col("constraint_id").startswith("T5"), F.lit("SPECIAL category access"))
-        .otherwise(F.lit("stale policy"))
+        .when(F.col("constraint_id").startswith("STD"), F.lit("stale policy"))
+        .otherwise(F.concat(F.lit(" "), F.upper("constraint_id")))
     )
     return _predicted(truth).select(
         F.col("prediction_id").alias("claim_id"),
@@ -101,12 +101,37 @@ def exact_matches(spark, sf_dir):
     return evaluation.exact_matches(_predicted(truth), truth)
 
 
+def _same_first_event(predicted: DataFrame, truth: DataFrame) -> DataFrame:
+    """A caller's matcher: same constraint and first cited event, in the order of ids."""
+    key = ["constraint_id", "first_event"]
+
+    def ranked(df, name):
+        rows = df.select("constraint_id", F.array_min("ocel_event_ids").alias("first_event"), name)
+        return with_rank_in_group(rows, key, [name], "nth")
+
+    pairs = ranked(predicted, "prediction_id").join(ranked(truth, "violation_id"), [*key, "nth"])
+    return pairs.select("prediction_id", "violation_id")
+
+
+@_query
+def first_event_confusion(spark, sf_dir):
+    truth = _truth(spark, sf_dir)
+    return evaluation.matched_confusion(_predicted(truth), truth, _same_first_event)
+
+
 @_query
 def overlap_matches(spark, sf_dir):
     truth = _truth(spark, sf_dir)
     return evaluation.overlap_matches(_claims(truth), truth, SYNONYMS)
 
 
+@_query
+def overlap_matches_two(spark, sf_dir):
+    """Two shared events are asked for, so truths that cite one event stay open."""
+    truth = _truth(spark, sf_dir)
+    return evaluation.overlap_matches(_claims(truth), truth, SYNONYMS, threshold=2)
+
+
 @_query
 def overlap_confusion(spark, sf_dir):
     truth = _truth(spark, sf_dir)
@@ -216,7 +241,9 @@ QUERIES = {
     "confusion_overall": confusion_overall,
     "session_confusion": session_confusion,
     "exact_matches": exact_matches,
+    "first_event_confusion": first_event_confusion,
     "overlap_matches": overlap_matches,
+    "overlap_matches_two": overlap_matches_two,
     "overlap_confusion": overlap_confusion,
     "adjudication_queue": adjudication_queue,
     "verdict_determinism": verdict_determinism,
@@ -232,7 +259,7 @@ _TRUTH = """
 truth AS (
   SELECT constraint_id || '|' || events AS violation_id, constraint_id, events, session_id,
          CAST(substr(session_id, 5) AS BIGINT) AS k
-  FROM (SELECT * FROM v_t4 UNION ALL SELECT * FROM v_t5 UNION ALL SELECT * FROM v_std)
+  FROM viol
 ),
 predicted AS (
   SELECT violation_id || '#' || c.copy AS prediction_id, constraint_id, events, session_id, k
@@ -250,7 +277,50 @@ blocks AS (
 
 
 def _scored(body: str) -> str:
-    return with_orders("", "T4", "T5", "STD").rstrip() + "," + _TRUTH + body
+    return all_violations("").rstrip() + "," + _TRUTH + body
+
+
+# Events of truths and of claims, which also cite the start of their session.
+_CITED = """,
+tev AS (SELECT violation_id, constraint_id, k, unnest(string_split(events, ',')) AS e FROM truth),
+pev AS (
+  SELECT prediction_id, constraint_id, unnest(list_distinct(list_append(string_split(events, ','), 'EV-' || k || '-000-session_start'))) AS e
+  FROM predicted
+)"""
+
+
+def _greedy(shared: int) -> str:
+    """Truths in order take their first free claim; those that share no claim need no order."""
+    return (
+        "WITH RECURSIVE"
+        + _scored(_CITED).removeprefix("WITH")
+        + f""",
+cand AS (
+  SELECT t.violation_id, p.prediction_id FROM tev t JOIN pev p ON p.constraint_id = t.constraint_id AND p.e = t.e
+  GROUP BY 1, 2 HAVING count(*) >= {shared}
+),
+wanted AS (SELECT prediction_id FROM cand GROUP BY 1 HAVING count(*) > 1),
+contested AS (
+  SELECT t.violation_id, row_number() OVER (ORDER BY t.constraint_id, list_sort(string_split(t.events, ',')), t.violation_id) AS i
+  FROM truth t WHERE t.violation_id IN (SELECT violation_id FROM cand WHERE prediction_id IN (SELECT prediction_id FROM wanted))
+),
+offers AS (SELECT i, violation_id, prediction_id FROM cand JOIN contested USING (violation_id)),
+walk AS (
+  SELECT 0::BIGINT AS i, []::VARCHAR[] AS taken
+  UNION ALL
+  SELECT w.i + 1, list_append(any_value(w.taken), coalesce(min(o.prediction_id) FILTER (NOT list_contains(w.taken, o.prediction_id)), ''))
+  FROM walk w LEFT JOIN offers o ON o.i = w.i + 1 WHERE w.i < (SELECT count(*) FROM contested) GROUP BY w.i
+),
+served AS (
+  SELECT unnest(taken) AS claim_id, unnest(range(1, len(taken) + 1)) AS i FROM walk WHERE i = (SELECT count(*) FROM contested)
+),
+matches AS (
+  SELECT s.claim_id, c.violation_id FROM served s JOIN contested c ON c.i = s.i WHERE s.claim_id <> ''
+  UNION ALL
+  SELECT min(prediction_id), violation_id FROM cand WHERE violation_id NOT IN (SELECT violation_id FROM contested) GROUP BY violation_id
+)
+"""
+    )
 
 
 _RATIOS = """
@@ -301,19 +371,23 @@ SELECT p.prediction_id, t.violation_id, p.constraint_id
 FROM (SELECT *, row_number() OVER (PARTITION BY constraint_id, events ORDER BY prediction_id) AS i FROM predicted) p
 JOIN (SELECT *, row_number() OVER (PARTITION BY constraint_id, events ORDER BY violation_id) AS i FROM truth) t
 ON p.constraint_id = t.constraint_id AND p.events = t.events AND p.i = t.i"""),
-    # no two truths of a label share a claim here, so the first claim of each truth wins
-    "overlap_matches": _scored("""
-SELECT min(p.prediction_id) AS claim_id, t.violation_id, t.constraint_id
-FROM truth t JOIN predicted p ON p.constraint_id = t.constraint_id AND p.events = t.events
-GROUP BY 2, 3"""),
-    "overlap_confusion": _scored("""
+    "first_event_confusion": _scored("""
 SELECT m AS tp, (SELECT count(*) FROM predicted) - m AS fp, (SELECT count(*) FROM truth) - m AS fn
-FROM (SELECT count(*) AS m FROM truth t WHERE EXISTS (
-  SELECT 1 FROM predicted p WHERE p.constraint_id = t.constraint_id AND p.events = t.events))"""),
-    "adjudication_queue": _scored("""
+FROM (SELECT CAST(sum(least(p.n, t.n)) AS BIGINT) AS m
+  FROM (SELECT constraint_id, list_min(string_split(events, ',')) AS e, count(*) AS n FROM predicted GROUP BY 1, 2) p
+  JOIN (SELECT constraint_id, list_min(string_split(events, ',')) AS e, count(*) AS n FROM truth GROUP BY 1, 2) t
+  ON p.constraint_id = t.constraint_id AND p.e = t.e)"""),
+    "overlap_matches": _greedy(1)
+    + "SELECT claim_id, m.violation_id, t.constraint_id FROM matches m JOIN truth t ON t.violation_id = m.violation_id",
+    "overlap_matches_two": _greedy(2)
+    + "SELECT claim_id, m.violation_id, t.constraint_id FROM matches m JOIN truth t ON t.violation_id = m.violation_id",
+    "overlap_confusion": _greedy(1)
+    + """SELECT m AS tp, (SELECT count(*) FROM predicted) - m AS fp, (SELECT count(*) FROM truth) - m AS fn
+FROM (SELECT count(*) AS m FROM matches)""",
+    "adjudication_queue": _scored(_CITED + """
 SELECT p.prediction_id AS claim_id, p.session_id FROM predicted p
-WHERE NOT EXISTS (SELECT 1 FROM truth t WHERE t.k % 5 <> 0 AND t.constraint_id = p.constraint_id
-                  AND (t.events = p.events OR t.events = 'EV-' || p.k || '-000-session_start'))"""),
+WHERE p.prediction_id NOT IN (
+  SELECT c.prediction_id FROM pev c JOIN tev t ON t.constraint_id = c.constraint_id AND t.e = c.e WHERE t.k % 5 <> 0)"""),
     "verdict_determinism": _scored("""
 SELECT 4 AS runs, CAST(CASE WHEN EXISTS (SELECT 1 FROM truth WHERE k % 4099 = 0) THEN 0.75 ELSE 1.0 END AS DOUBLE)
        AS determinism"""),
