@@ -6,6 +6,11 @@ findings and are left out, never repaired.
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+from contextlib import contextmanager
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -240,17 +245,76 @@ def run_files(manifest: DataFrame) -> DataFrame:
     return manifest.select("run_id", F.inline("files"))
 
 
-def checked_files(spark: SparkSession, folder: str, files: DataFrame) -> DataFrame:
-    """The listed files with ``actual``, the hash of what is there (null: nothing)."""
-    found = (
-        spark.read.format("binaryFile")
-        .load(folder)
-        .select(
-            F.element_at(F.split("path", "/"), -1).alias("filename"),
-            F.sha2("content", 256).alias("actual"),
-        )
+@contextmanager
+def _whole_files(spark: SparkSession) -> Iterator[None]:
+    """While this holds, planned scans give every file a partition of its own, unsplit."""
+    names = ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")
+    before = {name: spark.conf.get(name) for name in names}
+    try:
+        for name in names:
+            spark.conf.set(name, str(1 << 50))
+        yield
+    finally:
+        for name, value in before.items():
+            spark.conf.set(name, value)
+
+
+def verified_lines(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(source_file, line_no, line) and (filename, actual) with the SHA-256 of each file, in one read.
+
+    A file is one partition that streams through a task: what is hashed are the lines that
+    are handed on, with their line ends. Memory holds a batch of lines, whatever the size
+    of the file. A byte order mark is no part of a line, so a file that begins with one
+    has another hash. An empty file is not seen by scans and so counts as missing.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["source_file", "line_no", "line", "actual"]
+        current, size, digest, passed, count = None, 0, None, 0, 0
+
+        def closed() -> pa.RecordBatch:
+            if passed == size - 1:  # the last line has an end, too
+                digest.update(b"\n")
+            columns = ([current], [None], [None], [digest.hexdigest()])
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.string(), pa.int64(), pa.string(), pa.string()), strict=True)], names)
+
+        for batch in batches:
+            files, values = batch.column("source_file"), batch.column("line")
+            start = 0
+            while start < batch.num_rows:
+                file = files[start].as_py()
+                stop = start + 1
+                if files[batch.num_rows - 1].as_py() == file:
+                    stop = batch.num_rows
+                while stop < batch.num_rows and files[stop].as_py() == file:
+                    stop += 1
+                if file != current:
+                    if current is not None:
+                        yield closed()
+                    current, size, digest, passed, count = file, batch.column("size")[start].as_py(), hashlib.sha256(), 0, 0
+                    if batch.column("block")[start].as_py() != size:
+                        raise ValueError(f"{file} was split")
+                part = values.slice(start, stop - start)
+                data = (b"\n" if count else b"") + b"\n".join(part.cast(pa.binary()).to_pylist())
+                digest.update(data)
+                passed += len(data)
+                numbers = pa.array(range(count + 1, count + 1 + len(part)), pa.int64())
+                count += len(part)
+                nothing = pa.nulls(len(part), pa.string())
+                yield pa.RecordBatch.from_arrays([files.slice(start, stop - start), numbers, part, nothing], names)
+                start = stop
+        if current is not None:
+            yield closed()
+
+    meta = F.col("_metadata")
+    scanned = spark.read.option("lineSep", "\n").text(path).select(
+        meta["file_name"].alias("source_file"), meta["file_size"].alias("size"), meta["file_block_length"].alias("block"), F.col("value").alias("line")
     )
-    return files.join(found, "filename", "left")
+    with _whole_files(spark):
+        rows = materialise(scanned.mapInArrow(run, "source_file string, line_no long, line string, actual string"))
+    lines = rows.where("line_no is not null").select("source_file", "line_no", "line")
+    hashed = rows.where("line_no is null").select(F.col("source_file").alias("filename"), "actual")
+    return lines, hashed
 
 
 def file_findings(compared: DataFrame) -> DataFrame:
@@ -276,9 +340,10 @@ def file_findings(compared: DataFrame) -> DataFrame:
 def read_run(spark: SparkSession, folder: str, manifest_name: str = "manifest.json") -> tuple[DataFrame, DataFrame]:
     """(spans, findings) of the files a manifest lists; files that fail their hash are left out."""
     manifest, manifest_findings = read_manifest(spark, f"{folder}/{manifest_name}")
-    compared = materialise(checked_files(spark, folder, run_files(manifest)))
+    every_line, hashes = verified_lines(spark, folder)
+    compared = materialise(run_files(manifest).join(hashes, "filename", "left"))
     sound = compared.where("actual <=> sha256 AND actual IS NOT NULL")
-    lines = read_lines(spark, folder).join(
+    lines = every_line.join(
         sound.select(F.col("filename").alias("source_file")), "source_file", "left_semi"
     )
     spans, span_findings = parse_spans(lines)

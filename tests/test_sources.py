@@ -94,6 +94,25 @@ def test_manifest_verified_run(spark, tmp_path):
         assert_valid(findings)
 
 
+def test_files_are_hashed_and_numbered_in_one_read(spark, tmp_path):
+    long = "x" * 300_000
+    contents = {
+        "a.jsonl": b"one\ntwo\n", "b.jsonl": b"one\ntwo", "d.jsonl": b"\n", "e.jsonl": b"\n\n a\r\n",
+        "f.jsonl": ("\n".join(f"{k} {long if k % 1000 == 0 else ''}" for k in range(25_000))).encode(), "g.jsonl": "ü\u2028ß\n".encode(),
+    }
+    for name, data in contents.items():
+        (tmp_path / name).write_bytes(data)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    lines, hashes = spans.verified_lines(spark, str(tmp_path))
+    assert spark.conf.get("spark.sql.files.maxPartitionBytes") == before
+    assert dict(map(tuple, hashes.collect())) == {n: hashlib.sha256(d).hexdigest() for n, d in contents.items()}
+    got = {}
+    for r in lines.collect():
+        got.setdefault(r.source_file, []).append((r.line_no, r.line))
+    want = {n: d.decode().removesuffix("\n").split("\n") for n, d in contents.items() if d}
+    assert {n: sorted(v) for n, v in got.items()} == {n: list(enumerate(v, 1)) for n, v in want.items()}
+
+
 def _facts(log):
     rows = [r for r in log.events.select("event_id", "event_type", "ts", json_attrs(F.col("attrs"))).collect()]
     rows += log.objects.select("object_id", "object_type", json_attrs(F.col("attrs"))).collect()

@@ -14,6 +14,7 @@ from verification.conversation_spans import conversation_lines
 from verification.order_log import order_log
 from ocelens.session import configure, materialise, shared_folder
 from ocelens.sources import sidecars, spans
+from ocelens.vocabulary import SPAN_CONTRACT
 from verification.order_sql import with_orders
 
 
@@ -64,6 +65,34 @@ def span_lines(spark, sf_dir):
     )
 
 
+@_query
+def verified_run(spark, sf_dir):
+    """A run written with its manifest and read again: findings by check, and the spans.
+
+    One listed hash is wrong, one listed file is not there, and no session is declared. The
+    spans of the file that fails are counted from the file, as they must be missing.
+    """
+    lines = conversation_lines(spark, sf_dir)
+    folder = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
+    dealt = lines.repartition(16, "source_file").sortWithinPartitions("source_file", "line_no")
+    dealt.select(F.col("line").alias("value")).write.text(folder)
+    # hashes by another way than the reader's
+    written = spark.read.format("binaryFile").load(f"{folder}/part-*").where("length > 0")
+    files = written.select(F.element_at(F.split("path", "/"), -1).alias("name"), F.sha2("content", 256).alias("sha256"))
+    wrong = files.agg(F.min("name")).first()[0]
+    listed = F.collect_list(F.array("name", F.when(F.col("name") == wrong, F.repeat(F.lit("0"), 64)).otherwise(F.col("sha256"))))
+    fixed = {"schema_version": 1, "contract": SPAN_CONTRACT, "run_id": "run", "seed": 1, "session_count": 0, "genai_semconv": False}
+    fixed |= dict.fromkeys(("scenario_name", "scenario_version", "catalogue_sha256", "seed_data_sha256", "model_id", "provider"), "x")
+    absent = F.array(F.array(F.lit("absent.jsonl"), F.repeat(F.lit("1"), 64)))
+    manifest = files.agg(F.to_json(F.struct(*[F.lit(v).alias(k) for k, v in fixed.items()], F.concat(listed, absent).alias("files"))).alias("value"))
+    manifest.coalesce(1).write.text(f"{folder}/manifest.json")
+    rows, findings = spans.read_run(spark, folder)
+    lost = spark.read.option("lineSep", "\n").text(f"{folder}/{wrong}").agg(F.count("*").alias("lost"))
+    kept = rows.agg(F.count("*").alias("kept"))
+    both = kept.join(lost).select(F.lit("spans").alias("check_id"), (F.col("kept") + F.col("lost")).alias("n"))
+    return findings.groupBy("check_id").agg(F.count("*").alias("n")).unionByName(both)
+
+
 @_query
 def parsed_spans(spark, sf_dir):
     rows = _spans(spark, sf_dir)
@@ -290,6 +319,7 @@ def log_findings(spark, sf_dir):
 
 QUERIES = {
     "span_lines": span_lines,
+    "verified_run": verified_run,
     "parsed_spans": parsed_spans,
     "span_findings": span_findings,
     "span_uniqueness": span_uniqueness,
@@ -362,6 +392,8 @@ _KEYS = (
 _LINES = "(SELECT count(*) + count(*) FILTER (WHERE n = 1) + 2 * count(*) FILTER (WHERE event_type = 'call_llm') FROM u)"
 
 ORACLES = {
+    "verified_run": _T + f""" SELECT 'spans' AS check_id, CAST({_LINES} AS BIGINT) AS n
+UNION ALL SELECT * FROM (VALUES ('file_missing', 1), ('file_sha256', 1), ('session_count', 1)) f(check_id, n)""",
     "span_lines": _T + f" SELECT CAST({_LINES} AS BIGINT) AS lines, true AS dense",
     "parsed_spans": _T + """
 SELECT trace AS trace_id, 'a' || hc || '0000000' AS span_id, NULL AS parent_span_id, 'root' AS name, 1 AS creation_index,
