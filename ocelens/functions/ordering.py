@@ -5,15 +5,18 @@ A plain window over (group, order) sends a hot group to a single task, and a glo
 sort key instead, so a hot group spreads over many partitions; what crosses a
 partition boundary is carried by a table with one row per partition. The ranges come
 from sampling, so the placed rows are written to the shared checkpoint folder once and
-every later step reads that copy.
+every later step reads that copy. Neighbours are met inside the sorted partitions, in
+Arrow batches, so there is one exchange of the rows and no second one for a window.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ocelens.session import materialise
 
@@ -84,32 +87,37 @@ def with_neighbours(
     ``previous`` / ``following`` name the struct columns to add; the struct is null at
     the group's ends.
     """
-    placed = _place(df, [*group, *order])
+    keys = [*group, *order]
     cell = F.struct(
         F.struct(*[F.col(c) for c in group]).alias("g") if group else F.lit(0).alias("g"),
         F.struct(*[F.col(c) for c in carry]).alias("v"),
     )
-    here = placed.withColumn("_cell", cell)
-    # the outermost rows of each partition, found by row number (no sort of the cells)
-    sizes = placed.groupBy("_part").agg(F.max("_row").alias("_top"))
-    heads = here.where("_row = 0").select("_part", F.col("_cell").alias("_first"))
-    tails = (
-        here.join(F.broadcast(sizes), "_part")
-        .where("_row = _top")
-        .select("_part", F.col("_cell").alias("_last"))
+    # written first: the ranges come from a sample, which else would compute the rows twice
+    placed = (
+        materialise(df)
+        .repartitionByRange(*[F.col(k) for k in keys])
+        .sortWithinPartitions(*keys)
+        .select("*", cell.alias("_cell"), F.monotonically_increasing_id().alias("_at"))
     )
+    sides = {"_prev": previous, "_next": following}
+    wanted = [side for side, name in sides.items() if name]
+    kind = placed.schema["_cell"].dataType
+    schema = T.StructType([*placed.schema.fields, *[T.StructField(side, kind) for side in wanted], T.StructField("_last", T.BooleanType())])
+    frozen = materialise(placed.mapInArrow(_beside(wanted), schema))
+    here = frozen.select(
+        *df.columns, "_cell", *wanted, "_last",
+        F.shiftright("_at", _ROW_BITS).alias("_part"),
+        F.col("_at").bitwiseAND((1 << _ROW_BITS) - 1).alias("_row"),
+    )
+    # the outermost rows of each partition meet those of its neighbours
+    heads = here.where("_row = 0").select("_part", F.col("_cell").alias("_first"))
+    tails = here.where("_last").select("_part", F.col("_cell").alias("_end"))
     edges = heads.join(tails, "_part").select(
         "_part",
-        F.lag("_last").over(_across_partitions()).alias("_before"),
+        F.lag("_end").over(_across_partitions()).alias("_before"),
         F.lead("_first").over(_across_partitions()).alias("_after"),
     )
-    inside = Window.partitionBy("_part").orderBy("_row")
-    out = here
-    if previous:
-        out = out.withColumn("_prev", F.lag("_cell").over(inside))
-    if following:
-        out = out.withColumn("_next", F.lead("_cell").over(inside))
-    out = out.join(F.broadcast(edges), "_part")
+    out = here.join(F.broadcast(edges), "_part")
 
     def same_group(neighbour: Column) -> Column:
         return F.when(neighbour["g"] == F.col("_cell")["g"], neighbour["v"])
@@ -118,4 +126,33 @@ def with_neighbours(
         out = out.withColumn(previous, same_group(F.coalesce("_prev", "_before")))
     if following:
         out = out.withColumn(following, same_group(F.coalesce("_next", "_after")))
-    return out.drop("_part", "_row", "_cell", "_prev", "_next", "_before", "_after")
+    return out.drop("_part", "_row", "_cell", "_prev", "_next", "_before", "_after", "_last")
+
+
+def _beside(wanted: list[str]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Adds the cells before and behind each row within a sorted partition, and marks its last row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def told(batch: pa.RecordBatch, before: pa.Array, after: pa.Array | None) -> pa.RecordBatch:
+            cells, n = batch.column("_cell"), batch.num_rows
+            behind = pa.nulls(1, cells.type) if after is None else after
+            shifted = {"_prev": [before, cells.slice(0, n - 1)], "_next": [cells.slice(1), behind]}
+            columns = [pa.concat_arrays(shifted[side]) for side in wanted]
+            last = pa.array([False] * (n - 1) + [after is None])
+            return pa.RecordBatch.from_arrays([*batch.columns, *columns, last], [*batch.schema.names, *wanted, "_last"])
+
+        held, before = None, None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            cells = batch.column("_cell")
+            if held is not None:
+                yield told(held, before, cells.slice(0, 1))
+                before = held.column("_cell").slice(held.num_rows - 1)
+            else:
+                before = pa.nulls(1, cells.type)
+            held = batch
+        if held is not None:
+            yield told(held, before, None)
+
+    return run
