@@ -23,6 +23,7 @@ def preference_turns(chosen: DataFrame, rejected: DataFrame, trained_role: str =
     and ties. Null roles and texts are empty. Rows without a pair_id belong to no pair and
     are left out. ``part`` is prompt, chosen or rejected; ``position`` counts from 0 within
     the conversation; a prompt turn comes once. A pair with one side only has no prompt.
+    Empty tables give no rows; a text of any length is rendered whole.
     """
 
     def side(df: DataFrame, name: str) -> DataFrame:
@@ -59,10 +60,11 @@ def preference_turns(chosen: DataFrame, rejected: DataFrame, trained_role: str =
 def replaced_replies(conversations: DataFrame, trained_role: str = "assistant") -> tuple[DataFrame, DataFrame]:
     """(chosen, rejected) for data without preferences: a mismatched reply as the negative.
 
-    Columns read: conv_id, turn, role, text. Chosen is every conversation that has a reply;
-    rejected is the same one with its last reply replaced by that of the next conversation
-    (the last conversation takes the first one's). Where rows tie for the last reply, the
-    greatest (turn, text) counts.
+    Columns read: conv_id, turn, role, text. Chosen is every conversation; rejected is the
+    same one with its last reply replaced by that of the next conversation that has one
+    (the last takes the first one's). Where rows tie for the last reply, the greatest
+    (turn, text) counts. A conversation without a reply is the same on both sides, so all
+    of it is prompt. Rows without a conv_id are left out; an empty table gives none.
     """
     rows = conversations.where(F.col("conv_id").isNotNull()).select(
         F.col("conv_id").alias("pair_id"),
@@ -74,12 +76,11 @@ def replaced_replies(conversations: DataFrame, trained_role: str = "assistant")
     n = ranked.count()
     following = ranked.select(F.expr(f"pmod(_rank - 1, {max(n, 1)}L)").alias("_rank"), F.col("_last.text").alias("_other"))
     swaps = materialise(ranked.join(following, "_rank").select("pair_id", "_last", "_other"))
-    chosen = rows.join(swaps.select("pair_id"), "pair_id", "left_semi")
     last = F.col("role").eqNullSafe(trained_role) & F.struct("turn", "text").eqNullSafe(F.col("_last"))
-    rejected = rows.join(swaps, "pair_id").select(
+    rejected = rows.join(swaps, "pair_id", "left").select(
         "pair_id", "turn", "role", F.when(last, F.col("_other")).otherwise(F.col("text")).alias("text")
     )
-    return chosen, rejected
+    return rows, rejected
 
 
 def assembled(turns: DataFrame) -> DataFrame:

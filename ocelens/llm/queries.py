@@ -207,10 +207,10 @@ last AS (SELECT conv_id, turn, text, row_number() OVER (ORDER BY conv_id) AS i,
   FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC, text DESC) AS k FROM turns WHERE role = 'assistant') WHERE k = 1),
 swap AS (SELECT l.conv_id, l.turn, l.text, o.text AS other FROM last l JOIN last o ON o.i = l.i % l.n + 1),
 sides AS (
-  SELECT t.conv_id, 'chosen' AS side, t.turn, t.role, t.text FROM turns t JOIN swap s ON s.conv_id = t.conv_id
+  SELECT t.conv_id, 'chosen' AS side, t.turn, t.role, t.text FROM turns t
   UNION SELECT t.conv_id, 'rejected', t.turn, t.role,
     CASE WHEN t.role = 'assistant' AND t.turn = s.turn AND t.text = s.text THEN s.other ELSE t.text END
-  FROM turns t JOIN swap s ON s.conv_id = t.conv_id),
+  FROM turns t LEFT JOIN swap s ON s.conv_id = t.conv_id),
 placed AS (SELECT *, row_number() OVER (PARTITION BY conv_id, side ORDER BY turn, role, text) - 1 AS position FROM sides),
 same AS (SELECT conv_id, position, count(*) = 2 AND min((role, text)) = max((role, text)) AS same FROM placed GROUP BY 1, 2),
 prompts AS (SELECT conv_id, coalesce(min(position) FILTER (NOT same), max(position) + 1) AS prompt_turns FROM same GROUP BY 1)

@@ -83,8 +83,10 @@ def test_replaced_replies(spark):
     rows = [(1, 0, "user", "q1"), (1, 1, "assistant", "a1"), (2, 0, "user", "q2"), (2, 1, "assistant", "a2"), (2, 2, "assistant", "b2"), (3, 0, "user", "no reply"), (5, 1, "assistant", "a5")]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
     chosen, rejected = preferences.replaced_replies(df)
-    assert sorted(r.text for r in chosen.collect()) == ["a1", "a2", "a5", "b2", "q1", "q2"]
-    assert sorted((r.pair_id, r.text) for r in rejected.collect()) == [(1, "b2"), (1, "q1"), (2, "a2"), (2, "a5"), (2, "q2"), (5, "a1")]
+    assert sorted(r.text for r in chosen.collect()) == ["a1", "a2", "a5", "b2", "no reply", "q1", "q2"]
+    assert sorted((r.pair_id, r.text) for r in rejected.collect()) == [(1, "b2"), (1, "q1"), (2, "a2"), (2, "a5"), (2, "q2"), (3, "no reply"), (5, "a1")]
+    turns = preferences.preference_turns(chosen, rejected).where("pair_id = 3").collect()
+    assert [(r.part, r.text, r.trained) for r in turns] == [("prompt", "no reply", False)]
 
 
 def test_shards_hold_the_mixture(spark):

@@ -1,6 +1,7 @@
 """Encoders, decoding, packing, id stores and token counts."""
 
 import base64
+import hashlib
 import random
 import zlib
 
@@ -8,6 +9,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 import tiktoken
+from brute import repeated_words, words
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
@@ -176,3 +178,74 @@ def test_queries_against_the_libraries(spark):
         want.append((d, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
         start += len(ids)
     assert sorted(map(tuple, queries.QUERIES["op6_indexed_id_shards"](spark, sf).collect())) == want
+
+
+def documents(spark):
+    return sorted(tuple(r) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").collect())
+
+
+def run(spark, name):
+    return queries.QUERIES[name](spark, "/root/testdata/sf0.001")
+
+
+def test_op1_query(spark, library):
+    sha = lambda data: hashlib.sha256(data).hexdigest()
+    want = []
+    for d, t in documents(spark):
+        ids = library.encode_ordinary(t or "")
+        want.append((d, len(ids), sha(" ".join(map(str, ids)).encode()), sha((t or "").encode())))
+    assert sorted(map(tuple, run(spark, "op1_byte_bpe").collect())) == want
+
+
+def test_op5_query(spark):
+    tokenizer, rows = Tokenizer.from_file(WORDS), run(spark, "op5_histogram_packing").collect()
+    mine: dict = {}
+    for r in rows:
+        mine.setdefault(r.doc_id, []).append((r.start, r.length, r.ids_crc32, r.doc_tokens))
+    for d, t in documents(spark):
+        ids = [*tokenizer.encode(t or "", add_special_tokens=False).ids, 1]
+        at = 0
+        for start, length, crc, total in sorted(mine.pop(d)):
+            assert start == at and total == len(ids) and crc == zlib.crc32(np.array(ids[at : at + length], "<u4").tobytes())
+            at += length
+        assert at == len(ids)
+    assert not mine
+    filled: dict = {}
+    for r in sorted(rows, key=lambda r: (r.sequence_id, r.offset)):
+        assert r.offset == filled.get(r.sequence_id, 0)
+        filled[r.sequence_id] = r.offset + r.length
+    assert sorted(filled) == list(range(len(filled))) and max(filled.values()) <= 2048
+    assert sum(filled.values()) >= 0.9 * 2048 * (len(filled) - 1)
+
+
+def test_op7_query(spark):
+    tokenizer, want = Tokenizer.from_file(WORDS), []
+    for d, t in documents(spark):
+        n = len(tokenizer.encode(t or "", add_special_tokens=False).ids)
+        want.append((d, len((t or "").encode()), n, n > 2048))
+    assert sorted(map(tuple, run(spark, "op7_cached_token_counts").select("doc_id", "n_bytes", "n_tokens", "over_limit").collect())) == want
+
+
+def test_op10_query(spark):
+    rows = run(spark, "op10_interleaved_shards").collect()
+    assert sorted((r.doc_id, r.size, r.text_crc32) for r in rows) == [(d, len((t or "").encode()) + 16, zlib.crc32((t or "").encode())) for d, t in documents(spark)]
+    slots: dict = {}
+    for r in rows:
+        assert r.law == "rows" and r.grown_shard is None
+        slots.setdefault(r.shard, []).append(r.slot)
+    assert sorted(slots) == list(range(40))
+    assert all(sorted(v) == list(range(len(v))) for v in slots.values())
+    assert max(map(len, slots.values())) - min(map(len, slots.values())) <= 1
+
+
+def test_op4_query(spark):
+    got = {r.doc_id: r for r in run(spark, "op4_line_quality").collect()}
+    for d, t in documents(spark):
+        w, r = words(t), got.pop(d)
+        lines = [x for x in (t or "").split("\n") if words(x)]
+        repeated = repeated_words(w)
+        failed = len(w) < 50 or 100 * repeated > 50 * len(w)
+        base = (len(w), sum(map(len, w)), sum((t or "").count(c) for c in "#*$%&|<>"), len(lines) - len(set(lines)), repeated, failed)
+        assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed) == base
+        assert not (failed and r.kept)
+    assert not got
