@@ -6,7 +6,11 @@ into one row, and read back with the same checks as findings.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
+from pyarrow import fs
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from ocelens.functions.attributes import float_text
@@ -26,6 +30,14 @@ EVENT_ID_NOTE = (
     "Editing a session keeps every event id: the number inside an id is the event's place in the "
     "original session, at.event.seq its place in the edited one."
 )
+#: Cache keys that can name a file of the cache's folder.
+CACHE_KEY = "^[0-9A-Za-z_.-]+$"
+CACHE_RECORD = (
+    "fingerprint struct<model_id:string,model_version:string,sample_index:int,condition:string,"
+    "session_id:string,access_date:string>, latency_ms bigint, "
+    "response struct<raw_text:string,schema_failure:boolean>, "
+    "usage struct<input_tokens:bigint,output_tokens:bigint>"
+)
 LABEL_TYPE = (
     "struct<violation_id:string,fault_class:string,constraint_id:string,session_id:string,"
     "ocel_event_ids:array<string>,ocel_object_ids:array<string>,"
@@ -272,23 +284,56 @@ def read_bundle(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(RECORD_SCHEMA).json(path)
 
 
+def write_judge_cache(responses: DataFrame, folder: str) -> None:
+    """Write each row (cache_key, value) as the file ``<cache_key>.json`` of ``folder``.
+
+    A task that runs again writes the same files with the same text. ``folder`` is a path or
+    URI that pyarrow's file systems can open on every executor.
+    """
+    files, base = fs.FileSystem.from_uri(folder)
+    files.create_dir(base, recursive=True)
+
+    def run(rows: Iterator[Row]) -> None:
+        target, path = fs.FileSystem.from_uri(folder)
+        for row in rows:
+            with target.open_output_stream(f"{path}/{row.cache_key}.json") as out:
+                out.write(row.value.encode())
+
+    responses.select("cache_key", "value").where(F.col("cache_key").rlike(CACHE_KEY) & F.col("value").isNotNull()).foreachPartition(run)
+
+
+def _opened(folder: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The text of the file of each key; keys without a file are left out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        files, path = fs.FileSystem.from_uri(folder)
+        for batch in batches:
+            for key in batch.column("cache_key").to_pylist():
+                try:
+                    with files.open_input_stream(f"{path}/{key}.json") as stream:
+                        text = stream.read().decode("utf-8", "replace")
+                except FileNotFoundError:
+                    continue
+                yield pa.RecordBatch.from_arrays([pa.array([key]), pa.array([text])], ["cache_key", "value"])
+
+    return run
+
+
 def judge_costs(spark: SparkSession, folder: str, keys: DataFrame | None = None) -> DataFrame:
-    """Usage and latency of cached judge responses, for the ``cache_key``s given."""
-    rows = (
-        spark.read.schema(
-            "fingerprint struct<model_id:string,model_version:string,sample_index:int,condition:string,"
-            "session_id:string,access_date:string>, latency_ms bigint, "
-            "response struct<raw_text:string,schema_failure:boolean>, "
-            "usage struct<input_tokens:bigint,output_tokens:bigint>"
-        )
-        .option("multiLine", True)
-        .json(folder)
-        .select(
-            F.regexp_replace(F.col("_metadata.file_name"), r"\.json$", "").alias("cache_key"),
-            "fingerprint.*",
-            "usage.*",
-            "latency_ms",
-            "response.*",
-        )
+    """Usage and latency of cached judge responses, for the ``cache_key``s given.
+
+    With keys, the distinct ones are dealt over tasks and only their files are opened; the
+    folder is not even listed. Keys without a file, null ones and ones that could not name
+    a file of the folder give no row. Without keys every file of the folder is read. A file
+    that is no JSON object gives a row of nulls.
+    """
+    if keys is None:
+        name = F.regexp_replace(F.col("_metadata.file_name"), r"\.json$", "")
+        texts = spark.read.text(folder, wholetext=True).select(name.alias("cache_key"), "value")
+    else:
+        asked = keys.select("cache_key").where(F.col("cache_key").rlike(CACHE_KEY)).distinct()
+        texts = asked.mapInArrow(_opened(folder), "cache_key string, value string")
+    record = F.from_json("value", CACHE_RECORD).alias("r")
+    return texts.select("cache_key", record).select(
+        "cache_key", "r.fingerprint.*", "r.usage.*", "r.latency_ms", "r.response.*"
     )
-    return rows if keys is None else rows.join(keys.select("cache_key").distinct(), "cache_key", "left_semi")

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ocelens.functions.canonical import json_attrs
-from ocelens.operators import evidence, mapping, validate
+from ocelens.operators import bundles, evidence, mapping, validate
 from ocelens.operators.constraints import evaluate
 from ocelens.operators.findings import assert_valid
 from ocelens.operators.rules import DEFAULT_RULES, rules_frame
@@ -247,6 +247,32 @@ def test_bundle_hashes_tampering_and_truncation(spark, tmp_path):
     assert evidence.bundle_differences(stored.where(~at), bundle).count() == 1
 
 
+def test_bundle_trees_differ_where_records_do(spark, tmp_path):
+    fields = [F.lit(None).cast(f.dataType).alias(f.name) for f in spark.createDataFrame([], sidecars.RECORD_SCHEMA).schema[2:]]
+    rule = F.struct(F.lit("f").alias("formal"), F.lit("T1.x").alias("id"), F.lit("n").alias("natural_language"), F.lit("1").alias("ruleset_version"))
+    name = lambda n: F.sha2(n.cast("string"), 256)
+    bundle = spark.range(2000).select(name(F.col("id")).alias("violation_id"), rule.alias("constraint"), *fields)
+    is_ = lambda *n: F.col("violation_id").isin([hashlib.sha256(str(i).encode()).hexdigest() for i in n])
+    edited = bundle.where(~is_(3)).withColumn("severity", F.when(is_(5, 6), F.lit("low")).otherwise(F.col("severity")))
+    other = edited.unionByName(bundle.where(is_(7))).unionByName(bundle.where(is_(8)).withColumn("violation_id", F.lit("new")))
+    for folder, df in (("a", bundle), ("b", bundle.orderBy(F.desc("violation_id"))), ("c", other), ("none", bundle.limit(0))):
+        bundles.write_bundle_tree(df, str(tmp_path / folder))
+    diff = lambda x, y: {(r.violation_id, r.change, r.recorded, r.actual) for r in bundles.bundle_difference(spark, str(tmp_path / x), str(tmp_path / y)).collect()}
+    assert diff("a", "b") == diff("none", "none") == set()
+    assert len(diff("a", "none")) == 2000 and {t[1:] for t in diff("none", "a")} == {("extra", 0, 1)}
+    h = lambda n: hashlib.sha256(str(n).encode()).hexdigest()
+    want = {(h(3), "missing", 1, 0), (h(5), "changed", 1, 1), (h(6), "changed", 1, 1), (h(7), "extra", 0, 1), ("new", "extra", 0, 1)}
+    assert diff("a", "c") == want
+    # leaves of other branches are not opened: all but the seven at most that differ are made unreadable
+    sides = [spark.read.schema(bundles.LEAF).parquet(str(tmp_path / x / "leaves")) for x in "ac"]
+    touched = {r.branch for s, t in (sides, sides[::-1]) for r in s.exceptAll(t).collect()}
+    assert 1 <= len(touched) <= 7
+    broken = [f for f in (tmp_path / "a" / "leaves").rglob("*.parquet") if f.parent.name.split("=")[1] not in touched]
+    for file in broken:
+        file.write_bytes(b"x")
+    assert len(broken) > 200 and diff("a", "c") == want
+
+
 def test_labels_and_judge_cache(spark, tmp_path):
     labels = spark.createDataFrame(
         [("v", "V1", "T1.x", "S", ["e"], [], ["s"], [], "high", ["Art. 1"], "text")],
@@ -268,6 +294,14 @@ def test_labels_and_judge_cache(spark, tmp_path):
     keys = spark.createDataFrame([("k2",)], "cache_key string")
     rows = sidecars.judge_costs(spark, str(tmp_path / "cache"), keys).collect()
     assert [(r.cache_key, r.input_tokens, r.latency_ms) for r in rows] == [("k2", 7, 5)]
+    # every file without keys; with keys the others are not opened, such as one that cannot be
+    assert {r.cache_key for r in sidecars.judge_costs(spark, str(tmp_path / "cache")).collect()} == {"k1", "k2"}
+    sidecars.write_judge_cache(spark.createDataFrame([("k3", "no json"), ("../k4", "{}"), ("k5", None)], "cache_key string, value string"), str(tmp_path / "cache"))
+    assert not (tmp_path / "k4.json").exists() and not (tmp_path / "cache" / "k5.json").exists()
+    (tmp_path / "cache" / "k6.json").mkdir()
+    keys = spark.createDataFrame([("k1",), ("k1",), ("k3",), ("k7",), ("../k1",), (None,)], "cache_key string")
+    rows = sidecars.judge_costs(spark, str(tmp_path / "cache"), keys).collect()
+    assert {(r.cache_key, r.output_tokens, r.raw_text) for r in rows} == {("k1", 8, "x"), ("k3", None, None)} and len(rows) == 2
 
 
 def test_mapping_finds_what_is_wrong(spark):

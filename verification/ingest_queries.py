@@ -317,7 +317,36 @@ def log_findings(spark, sf_dir):
     return validate.log_findings(damaged).groupBy("check_id").agg(F.count("*").alias("rows"))
 
 
+@_query
+def cached_costs(spark, sf_dir):
+    """A response for every conversation is cached in a file; conversations of four turns or more are asked for."""
+    said = lambda role: F.coalesce(F.sum(F.when(F.col("role") == role, F.length("text"))), F.lit(0))
+    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet").where("conv_id IS NOT NULL")
+    talks = materialise(
+        turns.groupBy("conv_id")
+        .agg(F.count("*").alias("turns"), said("user").alias("asked"), said("assistant").alias("told"))
+        .withColumn("cache_key", F.sha2(F.concat(F.lit("conversation:"), "conv_id"), 256))
+    )
+    record = F.to_json(
+        F.struct(
+            F.struct(
+                F.concat(F.lit("SES-"), "conv_id").alias("session_id"), F.col("turns").cast("int").alias("sample_index")
+            ).alias("fingerprint"),
+            (F.col("turns") * 25).alias("latency_ms"),
+            F.struct(F.concat(F.lit('{"turns": '), "turns", F.lit("}")).alias("raw_text"), (F.col("told") == 0).alias("schema_failure")).alias("response"),
+            F.struct(F.col("asked").alias("input_tokens"), F.col("told").alias("output_tokens")).alias("usage"),
+        )
+    )
+    folder = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
+    sidecars.write_judge_cache(talks.select("cache_key", record.alias("value")), folder)
+    asked = talks.where("turns >= 4").select(F.explode(F.array("cache_key", F.concat("cache_key", F.lit("0")), F.lit(None))).alias("cache_key"))
+    return sidecars.judge_costs(spark, folder, asked).select(
+        "cache_key", "session_id", "sample_index", "input_tokens", "output_tokens", "latency_ms", "raw_text", "schema_failure"
+    )
+
+
 QUERIES = {
+    "cached_costs": cached_costs,
     "span_lines": span_lines,
     "verified_run": verified_run,
     "parsed_spans": parsed_spans,
@@ -392,6 +421,13 @@ _KEYS = (
 _LINES = "(SELECT count(*) + count(*) FILTER (WHERE n = 1) + 2 * count(*) FILTER (WHERE event_type = 'call_llm') FROM u)"
 
 ORACLES = {
+    "cached_costs": """SELECT sha256('conversation:' || conv_id) AS cache_key, 'SES-' || conv_id AS session_id, CAST(turns AS INTEGER) AS sample_index,
+  CAST(asked AS BIGINT) AS input_tokens, CAST(told AS BIGINT) AS output_tokens, turns * 25 AS latency_ms,
+  '{"turns": ' || turns || '}' AS raw_text, told = 0 AS schema_failure
+FROM (SELECT conv_id, count(*) AS turns, coalesce(sum(CASE WHEN role = 'user' THEN length(text) END), 0) AS asked,
+        coalesce(sum(CASE WHEN role = 'assistant' THEN length(text) END), 0) AS told
+      FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id)
+WHERE turns >= 4""",
     "verified_run": _T + f""" SELECT 'spans' AS check_id, CAST({_LINES} AS BIGINT) AS n
 UNION ALL SELECT * FROM (VALUES ('file_missing', 1), ('file_sha256', 1), ('session_count', 1)) f(check_id, n)""",
     "span_lines": _T + f" SELECT CAST({_LINES} AS BIGINT) AS lines, true AS dense",
