@@ -1,6 +1,8 @@
 """What the shared steps shuffle and write, as far as a plan or a count of writes shows it."""
 
-from ocelens.functions import ordering
+import hashlib
+
+from ocelens.functions import canonical, ordering
 from ocelens.operators import mining
 
 
@@ -27,6 +29,23 @@ def test_small_groups_are_met_without_a_write(spark, monkeypatch):
     assert writes == []
 
 
+def test_a_digest_shuffles_each_hash_once(spark):
+    rows = [(hashlib.sha256(str(i % 400).encode()).hexdigest(),) for i in range(1000)]
+    digest = canonical.content_digest(spark.createDataFrame(rows, "row_sha256 string"))
+    # the leaves, and the two levels of nodes above them
+    assert len(_exchanges(digest)) == 3
+    hashes = {}
+    for (h,) in rows:
+        hashes[h] = hashes.get(h, 0) + 1
+    level = {h: hashlib.sha256(f"{h}:{n}".encode()).hexdigest() for h, n in hashes.items()}
+    for length in canonical.HASH_PREFIXES:
+        nodes = {}
+        for prefix, d in level.items():
+            nodes.setdefault(prefix[:length], []).append(d)
+        level = {p: hashlib.sha256("".join(sorted(ds)).encode()).hexdigest() for p, ds in nodes.items()}
+    assert digest.first()["digest"] == level[""]
+
+
 def test_graph_edges_shuffle_no_ids(spark):
     rows = [("O", "o1", "a", "b", "1", "2"), ("O", "o2", "a", "b", "1", "2"), ("O", "o3", "a", "b", "1", "3")]
     follows = spark.createDataFrame(rows, "object_type string, object_id string, activity_a string, activity_b string, first_id string, second_id string")
