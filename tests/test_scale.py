@@ -2,8 +2,10 @@
 
 import hashlib
 
+from pyspark.sql import functions as F
+
 from ocelens.functions import canonical, ordering
-from ocelens.operators import mining
+from ocelens.operators import evidence, mining
 
 
 def _writes(monkeypatch, module) -> list:
@@ -52,3 +54,24 @@ def test_graph_edges_shuffle_no_ids(spark):
     edges = mining.dfg_edges(follows)
     assert not any("first_id" in line for line in _exchanges(edges))
     assert [tuple(r) for r in edges.collect()] == [("O", "a", "b", 2, 3)]
+
+
+def test_a_chain_places_no_shared_text(spark, monkeypatch):
+    writes = _writes(monkeypatch, ordering)
+    rows = spark.range(40).select(
+        F.concat(F.lit("v"), "id").alias("violation_id"),
+        F.struct(F.concat(F.lit("T"), F.col("id") % 2).alias("id"), F.lit("a long text").alias("formal")).alias("constraint"),
+        F.array(F.lit("law")).alias("legal_basis"),
+        F.struct(F.array(F.lpad(F.col("id").cast("string"), 3, "0")).alias("ocel_event_ids"), F.array(F.lit("o")).alias("ocel_object_ids")).alias("evidence"),
+        F.sha2(F.col("id").cast("string"), 256).alias("record_sha256"),
+    )
+    records = rows.union(rows.where("violation_id = 'v7'"))
+    chained = evidence.chain(records)
+    assert writes and all("legal_basis" not in w and "constraint" not in w for w in writes)
+    got = sorted(chained.collect(), key=lambda r: r.integrity.chain_index)
+    expected = sorted(records.collect(), key=lambda r: (r.constraint.id, r.evidence.ocel_event_ids, r.record_sha256))
+    assert [r.violation_id for r in got] == [r.violation_id for r in expected]
+    assert [r.integrity.chain_index for r in got] == list(range(41))
+    before = [evidence.GENESIS] + [r.record_sha256 for r in expected[:-1]]
+    assert [r.integrity.prev_record_sha256 for r in got] == before
+    assert all(r.constraint.formal == "a long text" and r.legal_basis == ["law"] for r in got)
