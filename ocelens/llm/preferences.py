@@ -35,7 +35,7 @@ def preference_turns(chosen: DataFrame, rejected: DataFrame, trained_role: str =
         ).distinct()
 
     both = side(chosen, "chosen").unionByName(side(rejected, "rejected"))
-    turns = materialise(with_rank_in_group(materialise(both), ["pair_id", "part"], ["turn", "role", "text"]))
+    turns = materialise(with_rank_in_group(materialise(both), ["pair_id", "part"], ["turn", "role", "text"], by_ranges=True))
     said = F.struct("role", "text")
     at = turns.groupBy("pair_id", "position").agg(
         ((F.count("*") == 2) & (F.min(said) == F.max(said))).alias("_same"),
