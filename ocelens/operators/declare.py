@@ -3,7 +3,9 @@
 Per case and ordered pair of activities that it has, everything the templates need is a
 mergeable aggregate: counts, first and last occurrence, adjacency in the case, and adjacency
 in the case reduced to the two activities (which decides the alternate family). No trace
-is ever gathered, and no case is multiplied by activities it does not have. A case supports a template when it activates it; confidence is the
+is ever gathered, and no case is multiplied by activities it does not have. Cases with the
+same sequence of activities agree on every template, so one of them is looked at for all
+(``_typical``); events without a case are left out. A case supports a template when it activates it; confidence is the
 satisfied share of the activated cases.
 
     template              activated by   satisfied when
@@ -35,6 +37,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ocelens.functions.ordering import with_neighbours
+from ocelens.operators.mining import case_variants
 from ocelens.session import materialise
 
 UNARY = ("existence", "absence", "exactly_one", "init")
@@ -68,6 +71,25 @@ _LETTERS_IN_BLOCK = 1000
 NEGATIVE = ("noncoexistence", "nonsuccession", "nonchainsuccession")
 
 
+def _typical(flat: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(events, weights, members): one case of every variant with its events.
+
+    events are the rows of ``flat`` of these cases; weights (case_id, variant, cases) says for how
+    many cases each stands; members (case_id, variant) has all cases. The events of all cases
+    are shuffled once, for their variants.
+    """
+    flat = flat.select("case_id", "event_id", "activity", "ts")
+    members = materialise(case_variants(flat).select("case_id", "variant"), "zstd")
+    weights = materialise(members.groupBy("variant").agg(F.min("case_id").alias("case_id"), F.count("*").alias("cases")))
+    events = materialise(flat.join(weights.select("case_id"), "case_id", "left_semi"), "zstd")
+    return events, weights, members
+
+
+def _weight(ok: Column) -> Column:
+    """The number of cases for which it holds."""
+    return F.sum(F.when(ok, F.col("cases")).otherwise(0))
+
+
 def _stats(flat: DataFrame) -> DataFrame:
     """Per case and activity: how often, first and last."""
     at = F.struct("ts", "event_id")
@@ -176,11 +198,12 @@ def discover(
     Cases with one activity of a pair decide every template by that alone, so they are
     only counted; facts are looked at where a case has both.
     """
-    flat = materialise(flat)
+    flat, weights, _ = _typical(flat)
+    weights = weights.select("case_id", "cases")
     stats = materialise(_stats(flat))
-    cases = stats.select("case_id").distinct().count()
-    single = stats.groupBy("activity").agg(F.count("*").alias("has"), F.count_if(F.col("n") == 1).alias("once"))
-    starts = _start(stats).groupBy(F.col("start").alias("activity")).agg(F.count("*").alias("first"))
+    cases = weights.agg(F.coalesce(F.sum("cases"), F.lit(0))).first()[0]
+    single = stats.join(weights, "case_id").groupBy("activity").agg(F.sum("cases").alias("has"), _weight(F.col("n") == 1).alias("once"))
+    starts = _start(stats).join(weights, "case_id").groupBy(F.col("start").alias("activity")).agg(F.sum("cases").alias("first"))
     letters = materialise(single.join(starts, "activity", "left").fillna(0, ["first"]))
     total = F.lit(cases)
     unary = {
@@ -194,8 +217,8 @@ def discover(
     binary = [t for t in BINARY if t in templates]
     if binary:
         rules = _satisfied()
-        met = _met(flat, stats, any(t in ALTERNATE for t in binary)).groupBy("a", "b").agg(
-            F.count("*").alias("met"), *[F.count_if(rules[t]).alias(t) for t in binary]
+        met = _met(flat, stats, any(t in ALTERNATE for t in binary)).join(weights, "case_id").groupBy("a", "b").agg(
+            F.sum("cases").alias("met"), *[_weight(rules[t]).alias(t) for t in binary]
         )
         pairs = _candidate_pairs(letters, min_support * cases).join(met, ["a", "b"], "left").fillna(0)
         active = {"a": F.col("has_a"), "b": F.col("has_b"), "either": F.col("has_a") + F.col("has_b") - F.col("met")}
@@ -216,7 +239,7 @@ def discover(
 def deviations(flat: DataFrame, model: DataFrame) -> DataFrame:
     """(case_id, template, a, b): model constraints a case activates and breaks."""
     kept = materialise(model.select("template", "a", "b").distinct())
-    flat = materialise(flat.select("case_id", "event_id", "activity", "ts"))
+    flat, weights, members = _typical(flat)
     stats = materialise(_stats(flat))
     of = lambda *t: kept.where(F.col("template").isin(*t))
     out = ["case_id", "template", "a", "b"]
@@ -257,7 +280,9 @@ def deviations(flat: DataFrame, model: DataFrame) -> DataFrame:
     met = _met(flat, stats, not of(*ALTERNATE).isEmpty(), pairs)
     both = met.select("case_id", "a", "b", F.explode(broken).alias("_v")).withColumn("template", F.col("_v.template"))
     rows.append(both.join(kept, ["template", "a", "b"], "left_semi").select(*out))
-    return reduce(DataFrame.unionByName, rows)
+    # written, so that its size is known where it is dealt to all cases of its variants
+    broken = materialise(reduce(DataFrame.unionByName, rows).join(weights, "case_id").select("variant", "template", "a", "b"))
+    return members.join(broken, "variant").select(*out)
 
 
 def deviation_anchors(flat: DataFrame, deviating: DataFrame) -> DataFrame:

@@ -207,6 +207,23 @@ def test_declare_verdicts_match_the_definitions(spark):
     assert broken == sorted((case, *rule) for (case, *rule), ok in want.items() if not ok)
 
 
+def test_declare_looks_at_one_case_of_every_variant(spark, monkeypatch):
+    """Cases with the same activities in order agree, so 60 cases of three variants are three to pair."""
+    traces = {f"c{i:02}": list(("xyxz", "zzy", "yx")[i % 3]) for i in range(60)}
+    rows = [(c, f"{c}-{i}", a, i) for c, tr in traces.items() for i, a in enumerate(tr)]
+    flat = spark.createDataFrame(rows, "case_id string, event_id string, activity string, t int").withColumn(
+        "ts", F.timestamp_seconds("t")
+    ).drop("t")
+    seen, met = [], declare._met
+    monkeypatch.setattr(declare, "_met", lambda rows, *args: seen.append(rows.count()) or met(rows, *args))
+    model = declare.discover(flat, min_support=0, min_confidence=0)
+    broken = declare.deviations(flat, model)
+    assert seen == [9, 9]
+    want = _declare(traces, "xyz")
+    assert model.agg(F.sum("activated"), F.sum("satisfied")).first() == (len(want), sum(want.values()))
+    assert broken.count() == len(want) - sum(want.values())
+
+
 def test_declare_takes_any_number_of_activities(spark):
     rows = [(f"c{k % 2}", f"e{k}", f"act{k:03}") for k in range(300)]
     flat = spark.createDataFrame(rows, "case_id string, event_id string, activity string").withColumn("ts", F.timestamp_seconds(F.lit(1)))
