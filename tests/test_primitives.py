@@ -125,3 +125,15 @@ def test_content_digest_ignores_order_and_partitions_but_not_copies(spark, n):
     # a run's digest is the same beside any other run
     both = df.selectExpr("'a' AS run", "*").union(spark.range(3000).selectExpr("'b'", "sha2(string(id), 256)"))
     assert {r.run: r.digest for r in canonical.content_digest(both, "run").collect()}["a"] == base
+
+
+def test_small_graphs_are_decided_in_two_writes(spark, monkeypatch):
+    rng = random.Random(8)
+    graphs = {f"g{k}": {(rng.randrange(5), rng.randrange(5)) for _ in range(rng.randrange(1, 14))} for k in range(40)}
+    rows = [(g, u, v) for g, es in graphs.items() for u, v in es] + [("g0", None, 1), ("g0", 1, None)]
+    df = spark.createDataFrame(rows, "g string, u int, v int")
+    expected = {(g, u, v) for g, es in graphs.items() for u, v in _reachable(es)}
+    writes = _counted_writes(monkeypatch, graph)
+    assert {tuple(r) for r in graph.cyclic_edges(df).collect()} == expected
+    assert len(writes) == 2
+    assert {tuple(r) for r in graph.cyclic_edges(df, small=3).collect()} == expected
