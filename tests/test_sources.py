@@ -157,6 +157,23 @@ def test_log_findings_look_at_suspect_objects_alone(spark):
     ])
 
 
+def test_session_excerpt_evaluates_its_citations_once(spark):
+    log, evaluated = _mini(spark), spark.sparkContext.accumulator(0)
+
+    def tell(session):
+        evaluated.add(1)
+        return session
+
+    cited = spark.createDataFrame([("S1", "e3"), ("S1", "e3"), ("S1", "e1")], "session_id string, event_id string")
+    cited = cited.withColumn("session_id", F.udf(tell, "string")("session_id"))
+    got = evidence.session_excerpt(log, cited).select("session_id", "event_id", "key_relations", "cited")
+    assert sorted(map(tuple, got.collect())) == [
+        ("S1", "e1", "concerns -> C1", True), ("S1", "e2", "uses -> M1", False),
+        ("S1", "e3", "produces -> D1; governed_by -> P1", True),
+    ]
+    assert evaluated.value == 3
+
+
 def _joined(folder):
     parts = sorted(glob.glob(f"{folder}/part-*"))
     return "".join(open(p, encoding="utf-8").read() for p in parts)
