@@ -2,10 +2,12 @@
 
 import hashlib
 
+import pytest
 from pyspark.sql import functions as F
 
 from ocelens.functions import canonical, ordering
-from ocelens.operators import evidence, mining
+from ocelens.model import EventLog
+from ocelens.operators import evidence, mining, perturb
 
 
 def _writes(monkeypatch, module) -> list:
@@ -75,3 +77,21 @@ def test_a_chain_places_no_shared_text(spark, monkeypatch):
     before = [evidence.GENESIS] + [r.record_sha256 for r in expected[:-1]]
     assert [r.integrity.prev_record_sha256 for r in got] == before
     assert all(r.constraint.formal == "a long text" and r.legal_basis == ["law"] for r in got)
+
+
+def test_replicas_meet_a_session_once_per_event_type(spark):
+    rows = [(f"e{i}", f"t{i % 2}", f"s{i % 3}" if i % 5 else None, f"o{j}", kind) for i in range(30) for j, kind in enumerate("AAB"[: 1 + i % 3])]
+    relations = spark.createDataFrame(rows, "event_id string, event_type string, session_id string, object_id string, object_type string")
+    none = spark.createDataFrame([], "source_id string, target_id string")
+    copies = perturb.replicate(EventLog(relations, relations, None, none, relations), 3)
+    counts = mining.sessions_per_type(copies, ["A", "B", "C"])
+    assert not any("object_type" in line for line in _exchanges(counts))
+    want = {}
+    for _, event, session, _, kind in rows:
+        edges, sessions = want.setdefault((event, kind), ([], set()))
+        edges.append(1)
+        sessions.update({session} - {None})
+    assert {(r.event_type, r.object_type): (r.edges, r.sessions) for r in counts.collect()} == {k: (3 * len(e), 3 * len(s)) for k, (e, s) in want.items()}
+    assert {r.event_id[-2:] for r in copies.relations.collect()} == {"~0", "~1", "~2"}
+    with pytest.raises(Exception, match="not named"):
+        mining.sessions_per_type(copies, ["A"]).collect()
