@@ -25,42 +25,37 @@ def parse_reports(responses: DataFrame, text: str = "raw_text") -> DataFrame:
     non-empty constraint_id, a non-empty list of non-empty event ids and an optional
     explanation. Adds ``claims`` (null on failure) and ``schema_failure``.
     """
-    checked = responses.withColumn("_v", F.expr(f"try_parse_json({text})")).withColumn(
-        "_items", F.expr("try_variant_get(_v, '$.violations', 'array<variant>')")
-    )
-    fields = "try_variant_get(e, '$', 'map<string,variant>')"
-    shape = "schema_of_variant(e) LIKE 'OBJECT<%'"
+    # every step is a column that the next one names more than once, so that none is evaluated again
+    fields = "try_variant_get({}, '$', 'map<string,variant>')"
     item_ok = (
-        f"coalesce({shape}"
-        f" AND size(array_except(map_keys({fields}), array('constraint_id', 'event_ids', 'explanation'))) = 0"
-        f" AND schema_of_variant({fields}['constraint_id']) = 'STRING'"
-        " AND try_variant_get(e, '$.constraint_id', 'string') <> ''"
-        f" AND schema_of_variant({fields}['event_ids']) = 'ARRAY<STRING>'"
-        f" AND (NOT map_contains_key({fields}, 'explanation')"
-        f" OR schema_of_variant({fields}['explanation']) = 'STRING'), false)"
-    )
-    report_ok = (
-        "coalesce(schema_of_variant(_v) LIKE 'OBJECT<%'"
-        " AND map_keys(try_variant_get(_v, '$', 'map<string,variant>')) = array('violations')"
-        f" AND _items IS NOT NULL AND forall(_items, e -> {item_ok}), false)"
+        "coalesce(size(array_except(map_keys(e), array('constraint_id', 'event_ids', 'explanation'))) = 0"
+        " AND schema_of_variant(e['constraint_id']) = 'STRING'"
+        " AND try_variant_get(e['constraint_id'], '$', 'string') <> ''"
+        " AND schema_of_variant(e['event_ids']) = 'ARRAY<STRING>'"
+        " AND (NOT map_contains_key(e, 'explanation')"
+        " OR schema_of_variant(e['explanation']) = 'STRING'), false)"
     )
     claim = (
-        "named_struct('constraint_id', try_variant_get(e, '$.constraint_id', 'string'),"
-        " 'event_ids', try_variant_get(e, '$.event_ids', 'array<string>'),"
-        " 'explanation', coalesce(try_variant_get(e, '$.explanation', 'string'), ''))"
+        "named_struct('constraint_id', try_variant_get(e['constraint_id'], '$', 'string'),"
+        " 'event_ids', try_variant_get(e['event_ids'], '$', 'array<string>'),"
+        " 'explanation', coalesce(try_variant_get(e['explanation'], '$', 'string'), ''))"
     )
     return (
-        checked.withColumn("schema_failure", ~F.expr(report_ok))
-        .withColumn("claims", F.expr(f"IF(schema_failure, NULL, transform(_items, e -> {claim}))"))
-        .drop("_v", "_items")
+        responses.withColumn("_v", F.expr(f"try_parse_json({text})"))
+        .withColumn("_top", F.expr(fields.format("_v")))
+        .withColumn("_items", F.expr("IF(map_keys(_top) = array('violations'), try_variant_get(_top['violations'], '$', 'array<variant>'), NULL)"))
+        .withColumn("_fields", F.expr(f"transform(_items, e -> {fields.format('e')})"))
+        .withColumn("claims", F.expr(f"IF(forall(_fields, e -> {item_ok}), transform(_fields, e -> {claim}), NULL)"))
+        .withColumn("schema_failure", F.expr("claims IS NULL"))
+        .select(*responses.columns, "schema_failure", "claims")
     )
 
 
 def claim_rows(runs: DataFrame) -> DataFrame:
     """One detection row per claim, with its position in the response."""
     return runs.select(
-        "*", F.posexplode("claims").alias("pos", "claim")
-    ).select(
+        "*", F.posexplode_outer("claims").alias("pos", "claim")
+    ).where("pos IS NOT NULL").select(
         *[c for c in runs.columns if c != "claims"],
         "pos",
         F.col("claim.constraint_id").alias("constraint_id"),
@@ -134,7 +129,9 @@ def majority_vote(
     The representative is the earliest run's first such claim.
     """
     run = ["sample_index", "model_id", "condition"]
-    items = claim_rows(runs.where("NOT schema_failure")).select(
+    # a failure has no claims; as a filter that would be pushed below the parsing, which then ran twice
+    valid = runs.withColumn("claims", F.when(~F.col("schema_failure"), F.col("claims")))
+    items = claim_rows(valid).select(
         *by,
         *run,
         "pos",
@@ -145,7 +142,8 @@ def majority_vote(
         event_set(F.col("ocel_event_ids")).alias("event_set"),
     )
     first = F.struct("constraint_id", "ocel_event_ids", "detail")
-    once_per_run = items.groupBy(*by, *run, "label", "event_set").agg(
+    # runs stand last, so that the rows sorted for this grouping are sorted for the next one too
+    once_per_run = items.repartition(*by, "label", "event_set").groupBy(*by, "label", "event_set", *run).agg(
         F.min("pos").alias("pos"), F.min_by(first, "pos").alias("claim")
     )
     return (

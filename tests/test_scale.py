@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ocelens.functions import canonical, ordering
 from ocelens.model import EventLog
-from ocelens.operators import evidence, mining, perturb
+from ocelens.operators import claims, evidence, mining, perturb
 
 
 def _writes(monkeypatch, module) -> list:
@@ -95,3 +95,14 @@ def test_replicas_meet_a_session_once_per_event_type(spark):
     assert {r.event_id[-2:] for r in copies.relations.collect()} == {"~0", "~1", "~2"}
     with pytest.raises(Exception, match="not named"):
         mining.sessions_per_type(copies, ["A"]).collect()
+
+
+def test_votes_parse_each_response_once(spark):
+    texts = ["broken", '{"violations":[]}', '{"violations":[{"constraint_id":"X ","event_ids":["b","a"]},{"constraint_id":"x","event_ids":["a","b"]}]}']
+    rows = [("s", "m", "c", i, texts[i % 3]) for i in range(9)]
+    runs = claims.parse_reports(spark.createDataFrame(rows, "session_id string, model_id string, condition string, sample_index int, raw_text string"))
+    votes = claims.majority_vote(runs, k=3)
+    plan = votes._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("parseJson(") == 1
+    assert len(_exchanges(votes)) == 1
+    assert [(v.label, v.support, v.constraint_id, list(v.ocel_event_ids)) for v in votes.collect()] == [("x", 3, "X ", ["b", "a"])]
