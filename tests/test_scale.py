@@ -106,3 +106,35 @@ def test_votes_parse_each_response_once(spark):
     assert plan.count("parseJson(") == 1
     assert len(_exchanges(votes)) == 1
     assert [(v.label, v.support, v.constraint_id, list(v.ocel_event_ids)) for v in votes.collect()] == [("x", 3, "X ", ["b", "a"])]
+
+
+def test_index_and_log_meet_in_one_grouping(spark):
+    rows = [("a",), ("b",), ("b",), (None,), ("c",)]
+    events = spark.createDataFrame(rows, "event_id string").selectExpr("event_id", "'t' AS event_type", "current_timestamp() AS ts", "map() AS attrs")
+    sessions = spark.createDataFrame([("s1", "Session"), ("s2", "Session")], "object_id string, object_type string")
+    none = spark.createDataFrame([], "source_id string, target_id string")
+    log = EventLog(events, sessions, None, none, events)
+    spans = spark.createDataFrame([("c",), ("d",), (None,), ("c",)], "event_id string")
+    found = evidence.index_mismatches(log, spans, spark.createDataFrame([("s2",), ("s3",)], "session_id string"))
+    assert "Join" not in found._jdf.queryExecution().executedPlan().toString()
+    got = sorted((r.key or "", r.detail) for r in found.collect())
+    lost, more = "event missing from the index", "event not in the log"
+    ends = [("s1", "session missing from the index"), ("s3", "session not in the log")]
+    assert got == sorted([("a", lost), ("b", lost), ("b", lost), ("", lost), ("", more), ("d", more), *ends])
+
+
+def _many_tasks(spark, monkeypatch) -> EventLog:
+    monkeypatch.setattr(ordering, "_ROWS_IN_TASK", 10)
+    rows = []
+    for i in range(90):
+        kind, session = ("session_end" if i % 9 == 0 else "t"), f"s{i // 9}"
+        edges = [(session, "Session", "within"), ("A", "Agent", "from"), ("B", "Agent", "to")]
+        rows += [(f"e{i}", kind, session, *e) for e in edges[: 1 + i % 3] + edges[: i % 2]]
+    relations = spark.createDataFrame(rows, "event_id string, event_type string, session_id string, object_id string, object_type string, qualifier string")
+    return EventLog(relations.select("event_id", "event_type").distinct(), relations, None, relations, relations)
+
+
+def test_recounting_takes_more_tasks_for_more_rows(spark, monkeypatch):
+    counts = perturb.recount_sessions(_many_tasks(spark, monkeypatch))
+    assert any("event_id" in line and ", 10), REPARTITION_BY_NUM" in line for line in _exchanges(counts))
+    assert {r.event_id: r.value.text for r in counts.collect()} == {f"e{i}": "9" for i in range(0, 90, 9)}
