@@ -138,3 +138,15 @@ def test_recounting_takes_more_tasks_for_more_rows(spark, monkeypatch):
     counts = perturb.recount_sessions(_many_tasks(spark, monkeypatch))
     assert any("event_id" in line and ", 10), REPARTITION_BY_NUM" in line for line in _exchanges(counts))
     assert {r.event_id: r.value.text for r in counts.collect()} == {f"e{i}": "9" for i in range(0, 90, 9)}
+
+
+def test_notions_share_one_grouping(spark, monkeypatch):
+    log = _many_tasks(spark, monkeypatch)
+    stats = mining.notion_statistics(log, "Session", "Agent")
+    assert sum("hashpartitioning(event_id" in line and "REPARTITION_BY_NUM" in line for line in _exchanges(stats)) == 1
+    edges = [(r.event_id, r.object_type) for r in log.relations.collect()]
+    want = set()
+    for notion in ("Session", "Agent"):
+        ids = [e for e, t in edges if t == notion]
+        want.add((notion, 90, len(set(ids)), 90 - len(set(ids)), len(ids) - len(set(ids))))
+    assert {tuple(r) for r in stats.collect()} == want
