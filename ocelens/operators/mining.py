@@ -193,8 +193,8 @@ def events_per_timestamp(log: EventLog) -> DataFrame:
 
 def object_lifecycles(log: EventLog) -> DataFrame:
     """First and last event time and number of events per object."""
-    return log.relations.groupBy("object_type", "object_id").agg(
-        F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"), F.count("*").alias("events")
+    return log.touches.groupBy("object_type", "object_id").agg(
+        F.min("first_ts").alias("first_ts"), F.max("last_ts").alias("last_ts"), F.sum("events").alias("events")
     )
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ocelens.functions import canonical, ordering
 from ocelens.model import EventLog
 from ocelens.operators import claims, evidence, mining, perturb
+from verification import order_log
 
 
 def _writes(monkeypatch, module) -> list:
@@ -150,3 +151,33 @@ def test_notions_share_one_grouping(spark, monkeypatch):
         ids = [e for e, t in edges if t == notion]
         want.add((notion, 90, len(set(ids)), 90 - len(set(ids)), len(ids) - len(set(ids))))
     assert {tuple(r) for r in stats.collect()} == want
+
+
+def test_lifecycles_meet_a_session_and_its_lines_in_one_pass(spark, monkeypatch, tmp_path):
+    day = "CAST(DATE '2024-01-01' + CAST(id % 40 AS INT) AS TIMESTAMP_NTZ)"
+    orders = spark.range(60).selectExpr(
+        # gaps, a repeated key and a null one
+        "IF(id = 59, NULL, IF(id = 58, 4, id + id DIV 7)) AS o_orderkey", "id % 9 AS o_custkey", "'F' AS o_orderstatus",
+        "1.0D AS o_totalprice", f"IF(id = 3, NULL, {day}) AS o_orderdate", "concat(id % 5 + 1, '-X') AS o_orderpriority",
+    )
+    lines = spark.range(400).selectExpr(
+        # lines without an order or a number, parts and suppliers that are null, orders without lines
+        "IF(id % 50 = 7, NULL, id % 64) AS l_orderkey", "IF(id % 31 = 0, NULL, id * 7 % 110) AS l_partkey",
+        "IF(id % 37 = 0, NULL, id * 5 % 23) AS l_suppkey", "IF(id % 41 = 0, NULL, CAST(id % 5 + 1 AS INT)) AS l_linenumber",
+    ).where("l_orderkey % 6 <> 2 OR l_orderkey IS NULL")
+    orders.write.parquet(f"{tmp_path}/orders.parquet")
+    lines.write.parquet(f"{tmp_path}/lineitem.parquet")
+    monkeypatch.setattr(ordering, "_ROWS_IN_TASK", 10)
+    writes = _writes(monkeypatch, order_log)
+    for period in ("true", "t0 < TIMESTAMP_NTZ '2024-01-20 00:00:00'"):
+        log = order_log.order_log(spark, str(tmp_path), period)
+        found = mining.object_lifecycles(log)
+        got = {tuple(r) for r in found.collect()}
+        assert writes == []
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert "Union" not in plan and "REPARTITION_BY_NUM" in plan
+        edges = log.relations.groupBy("object_type", "object_id").agg(F.min("ts"), F.max("ts"), F.count("*"))
+        assert got == {tuple(r) for r in edges.collect()} and len(got) > 100
+        writes.clear()
+    plain = EventLog(log.events, log.events, None, log.events, log.relations)
+    assert {tuple(r) for r in mining.object_lifecycles(plain).collect()} == got
