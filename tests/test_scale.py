@@ -181,3 +181,36 @@ def test_lifecycles_meet_a_session_and_its_lines_in_one_pass(spark, monkeypatch,
         writes.clear()
     plain = EventLog(log.events, log.events, None, log.events, log.relations)
     assert {tuple(r) for r in mining.object_lifecycles(plain).collect()} == got
+
+
+def test_patches_leave_the_relations_of_other_events_alone(spark, monkeypatch):
+    def log(with_relations: bool) -> EventLog:
+        kinds = [(f"e{i}", "handoff" if i % 3 else "session_start", i) for i in range(9)]
+        events = spark.createDataFrame(kinds, "event_id string, event_type string, n int").selectExpr(
+            "event_id", "event_type", "timestamp_seconds(n) AS ts", "CAST(map() AS map<string, struct<kind: string, text: string>>) AS attrs"
+        )
+        objects = spark.createDataFrame(
+            [(f"s{i}", "Session") for i in range(3)] + [(f"a{i}", "Agent") for i in range(4)], "object_id string, object_type string"
+        ).selectExpr("*", "CAST(map() AS map<string, struct<kind: string, text: string>>) AS attrs")
+        edges = [(f"e{i}", f"s{i // 3}", "within") for i in range(9)] + [(f"e{i}", f"a{i % 2}", "to") for i in range(9)]
+        e2o = spark.createDataFrame([*edges, ("e4", "a1", "from"), ("e4", "a1", "from")], perturb.EDGE)
+        o2o = spark.createDataFrame([("a0", "a1", "delegates_to"), ("a2", "a1", "delegates_to")], "source_id string, target_id string, qualifier string")
+        derived = EventLog(events, objects, e2o, o2o)
+        return EventLog(events, objects, None, o2o, derived.relations) if with_relations else derived
+
+    gone = perturb.Patch(removed_events=spark.createDataFrame([("e1",), ("e1",)], "event_id string"))
+    moved = perturb.Patch(
+        removed_edges=spark.createDataFrame([("e4", "a0"), ("e5", "s1")], "event_id string, object_id string"),
+        added_edges=spark.createDataFrame([("e4", "a3", "to"), ("e5", "s2", "within"), ("e1", "a3", "to"), ("e8", "new", "to")], perturb.EDGE),
+        added_objects=spark.createDataFrame([("new", "Agent")], "object_id string, object_type string").selectExpr("*", "CAST(map() AS map<string, struct<kind: string, text: string>>) AS attrs"),
+    )
+    for stored in (False, True):
+        mine, plain = (perturb.apply_patches(log(own), [gone, moved], stored=stored) for own in (True, False))
+        for table in ("relations", "objects", "o2o", "events"):
+            columns = sorted(getattr(plain, table).columns)
+            got, wanted = (sorted(str(r) for r in getattr(x, table).select(*columns).collect()) for x in (mine, plain))
+            assert got == wanted, table
+    # where events go and nothing else changes, neither objects nor sessions are met again
+    only_gone = perturb.apply_patches(log(True).stored(), [gone]).relations
+    plan = only_gone._jdf.queryExecution().optimizedPlan().toString()
+    assert sum("Join " in line for line in plan.splitlines()) == 1
