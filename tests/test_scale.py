@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ocelens.functions import canonical, ordering
 from ocelens.model import EventLog
 from ocelens.operators import claims, evidence, mining, perturb
+from ocelens.session import materialise
 from verification import order_log
 
 
@@ -214,3 +215,33 @@ def test_patches_leave_the_relations_of_other_events_alone(spark, monkeypatch):
     only_gone = perturb.apply_patches(log(True).stored(), [gone]).relations
     plan = only_gone._jdf.queryExecution().optimizedPlan().toString()
     assert sum("Join " in line for line in plan.splitlines()) == 1
+
+
+def _shuffle_files(spark) -> int:
+    files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    return sum(files.apply(i).getName().startswith("shuffle_") for i in range(files.size()))
+
+
+def test_a_step_leaves_no_shuffle_files(spark):
+    before = _shuffle_files(spark)
+    counted = spark.range(1000).selectExpr("id % 10 AS g").groupBy("g").count()
+    copy = materialise(counted)
+    assert _shuffle_files(spark) <= before
+    # the same rows can still be asked for again
+    assert sorted(counted.collect()) == sorted(counted.collect()) == sorted(copy.collect())
+
+
+def test_a_digest_is_dealt_to_tasks_of_bounded_rows(spark, monkeypatch):
+    rows = spark.createDataFrame([(hashlib.sha256(str(i).encode()).hexdigest(),) for i in range(500)], "row_sha256 string")
+    few = canonical.content_digest(rows)
+    monkeypatch.setattr(ordering, "_ROWS_IN_TASK", 50)
+    many = canonical.content_digest(rows)
+    assert any("hashpartitioning" in line and ", 11)" in line for line in _exchanges(many))
+    assert many.first() == few.first()
+
+
+def test_json_strings_are_escaped_as_the_json_writer_does(spark):
+    texts = ["", "plain", 'a"b', "back\\slash", "tab\tnew\nline", "nul\x00", "\x1f\x7f", "ümläut", "𝄞/'", None]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string")
+    for row in rows.select("t", canonical.json_string(F.col("t")).alias("mine"), F.to_json(F.array("t")).alias("listed")).collect():
+        assert row.mine == (None if row.t is None else row.listed[1:-1])
