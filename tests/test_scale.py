@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ocelens.functions import canonical, ordering
 from ocelens.model import EventLog
-from ocelens.operators import claims, evidence, mining, perturb
+from ocelens.operators import bundles, claims, evidence, mining, perturb
 from ocelens.session import materialise
 from verification import order_log
 
@@ -245,3 +245,42 @@ def test_json_strings_are_escaped_as_the_json_writer_does(spark):
     rows = spark.createDataFrame([(t,) for t in texts], "t string")
     for row in rows.select("t", canonical.json_string(F.col("t")).alias("mine"), F.to_json(F.array("t")).alias("listed")).collect():
         assert row.mine == (None if row.t is None else row.listed[1:-1])
+
+
+def test_a_chain_writes_its_rows_once_before_and_once_after_they_are_placed(spark, monkeypatch):
+    placed, kept = _writes(monkeypatch, ordering), _writes(monkeypatch, evidence)
+    rows = spark.range(30).select(
+        F.struct(F.concat(F.lit("T"), F.col("id") % 2).alias("id")).alias("constraint"),
+        F.struct(F.array(F.lpad(F.col("id").cast("string"), 3, "0")).alias("ocel_event_ids"), F.array(F.lit("o")).alias("ocel_object_ids")).alias("evidence"),
+        F.sha2(F.col("id").cast("string"), 256).alias("record_sha256"),
+    )
+    got = evidence.chain(rows).select("integrity.*").orderBy("chain_index").collect()
+    assert [r.prev_record_sha256 for r in got] == [evidence.GENESIS, *(r.record_sha256 for r in got[:-1])]
+    # the records and their shared texts, then the placed rows
+    assert len(kept) == 2 and len(placed) == 1
+
+
+def test_spans_are_met_without_gathering_single_citations(spark):
+    def violation(constraint, *events):
+        return (constraint, list(events), ["o"], "s", "low")
+
+    rows = [violation("A", "e1"), violation("A", "e1"), violation("B", "e2"), violation("C", "none"), violation("D", "e3", "e1"), violation("D", "e3", "e1")]
+    rows += [violation("E", "e1", "e2"), violation("F", "e1", "none"), violation("G", "e1", "e4"), violation("H")]
+    violations = spark.createDataFrame(rows, "constraint_id string, ocel_event_ids array<string>, ocel_object_ids array<string>, session_id string, severity string")
+    spans = [("e1", "t", "s1"), ("e2", "t", "s2"), ("e2", "t", "s2b"), ("e3", "t", "s3"), ("e4", "u", "s4")]
+    found = evidence._with_spans(violations, spark.createDataFrame(spans, "event_id string, trace_id string, span_id string"))
+    got = sorted((r.constraint_id, r.trace_id, r.span_ids) for r in found.collect())
+    # e2 has two spans, e4 another trace
+    assert got == [("A", "t", ["s1"])] * 2 + [("D", "t", ["s3", "s1"])] * 2
+    assert found.columns == ["constraint_id", "ocel_event_ids", "ocel_object_ids", "session_id", "severity", "trace_id", "span_ids"]
+
+
+def test_a_bundle_tree_is_written_in_its_place(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(bundles, "record_json", lambda: F.col("violation_id"))
+    writes = _writes(monkeypatch, bundles)
+    rows = spark.range(300).select(F.concat(F.lit("v"), F.col("id") % 290).alias("violation_id"), F.struct(F.lit("T").alias("id")).alias("constraint"))
+    for name, df in (("a", rows), ("b", rows.where("violation_id <> 'v5'"))):
+        bundles.write_bundle_tree(df, str(tmp_path / name))
+    assert writes == []
+    got = bundles.bundle_difference(spark, str(tmp_path / "a"), str(tmp_path / "b")).collect()
+    assert [tuple(r) for r in got] == [("v5", "T", "missing", 2, 0)]
