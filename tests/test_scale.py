@@ -5,6 +5,7 @@ import hashlib
 import pytest
 from pyspark.sql import functions as F
 
+from ocelens import session
 from ocelens.functions import canonical, ordering
 from ocelens.model import EventLog
 from ocelens.operators import bundles, claims, evidence, mining, perturb
@@ -284,3 +285,48 @@ def test_a_bundle_tree_is_written_in_its_place(spark, monkeypatch, tmp_path):
     assert writes == []
     got = bundles.bundle_difference(spark, str(tmp_path / "a"), str(tmp_path / "b")).collect()
     assert [tuple(r) for r in got] == [("v5", "T", "missing", 2, 0)]
+
+
+def _log_of(spark, edges) -> EventLog:
+    """A log with relations from (event_id, session_id, object_id, object_type, qualifier)."""
+    none = "CAST(map() AS map<string, struct<kind: string, text: string>>) AS attrs"
+    relations = spark.createDataFrame(edges, "event_id string, session_id string, object_id string, object_type string, qualifier string").selectExpr(
+        "event_id", "'call_llm' AS event_type", "timestamp_seconds(0) AS ts", "session_id", "object_id", "object_type", "qualifier"
+    )
+    events = relations.selectExpr("event_id", "event_type", "ts", none).dropDuplicates(["event_id"])
+    objects = relations.selectExpr("object_id", "object_type", none).dropDuplicates(["object_id"])
+    return EventLog(events, objects, None, spark.createDataFrame([], "source_id string, target_id string, qualifier string"), relations)
+
+
+_PLAIN = [("e1", "s1", "s1", "Session", "within"), ("e1", "s1", "a", "Agent", "to"), ("e1", "s1", "a", "Agent", "from"), ("e2", "s2", "s2", "Session", "within"), ("e2", "s2", "a", "Agent", "to"), ("e2", "s2", "b", "Agent", "to"), ("e2", "s2", "b", "Agent", "to")]
+_ODD = [("e3", "s1", "s1", "Session", "within"), ("e3", "s1", "s2", "Session", "concerns"), ("e3", "s1", "b", "Agent", "to"), ("e4", None, "s2", "Session", "concerns"), ("e4", None, "c", "Agent", "to"), ("e5", None, "c", "Agent", "to")]
+
+
+@pytest.mark.parametrize("edges", [_PLAIN, _PLAIN + _ODD])
+def test_foreign_objects_without_members_are_those_of_the_session_members(spark, edges):
+    log = _log_of(spark, edges)
+    got = sorted(tuple(r) for r in evidence.foreign_objects(log).collect())
+    assert got == sorted(tuple(r) for r in evidence.foreign_objects(log, evidence.session_members(log)).collect())
+    lines = evidence.session_payload_lines(log)
+    told = sorted((r.session_id, r.sort_id) for r in lines.where("section = 'event'").collect())
+    assert told == sorted((r.session_id, r.event_id) for r in evidence.session_members(log).collect())
+    assert sorted((r.session_id, r.sort_id) for r in lines.where("section = 'object'").collect()) == [g[:2] for g in got]
+
+
+def test_edges_of_plain_events_are_dealt_once_for_foreign_objects(spark):
+    found = evidence.foreign_objects(_log_of(spark, _PLAIN))
+    # no edge is met with members: what is dealt by event is gone
+    assert not any("hashpartitioning(event_id" in line for line in _exchanges(found))
+
+
+def test_a_large_log_starts_with_more_shuffle_partitions(spark):
+    name = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
+    try:
+        session.size_shuffles(spark, 2_000_000)
+        assert spark.conf.get(name, None) is None
+        session.size_shuffles(spark, 9_500_000)
+        assert spark.conf.get(name) == "10"
+        session.size_shuffles(spark, 5_000_000)
+        assert spark.conf.get(name) == "10"
+    finally:
+        spark.conf.unset(name)
