@@ -236,7 +236,7 @@ def test_a_digest_is_dealt_to_tasks_of_bounded_rows(spark, monkeypatch):
     rows = spark.createDataFrame([(hashlib.sha256(str(i).encode()).hexdigest(),) for i in range(500)], "row_sha256 string")
     few = canonical.content_digest(rows)
     monkeypatch.setattr(ordering, "_ROWS_IN_TASK", 50)
-    many = canonical.content_digest(rows)
+    many = canonical.content_digest(rows, rows=500)
     assert any("hashpartitioning" in line and ", 11)" in line for line in _exchanges(many))
     assert many.first() == few.first()
 
